@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, langid, packing, toxicity, urls
 
 QUERIES = {
+    "op4_language_id": langid.op4,
+    "op7_best_fit_packing": packing.op7,
     "op8_url_rules": urls.op8,
     "op9_chat_format": chat.op9,
+    "op10_toxicity": toxicity.op10,
 }
 SQL = {
     "op8_url_rules": urls.OP8_SQL,
