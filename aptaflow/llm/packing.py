@@ -27,32 +27,42 @@ from ._store import cut, map_arrow, partitions
 CAPACITY = 4096
 SEPARATOR = 1
 #: Entries of an executor's table of words met; it starts anew beyond that.
-CACHE = 250_000
+CACHE = 400_000
 
 
 class Encoder:
     """A tokenizer whose ids of words between spaces are kept.
 
-    The tokenizer must treat what stands between spaces and line feeds independently, as those whose pre-tokenizer drops white
-    space and whose normalizer does not look across it do; its added tokens must hold no white space.
+    The tokenizer must lower-case, and treat what stands between spaces and line feeds independently, as those whose
+    pre-tokenizer drops white space and parts letters from signs, and whose normalizer does not look across white space. Its
+    added tokens must hold no white space; a text with ``<|`` is not lower-cased beforehand, as such tokens are matched first.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+        raw = text.encode("utf-8", "replace").replace(b"\n", b" ")
+        words = (raw if b"<|" in raw else raw.lower()).split(b" ")
+        new = set(words).difference(self.known)
+        if new:
+            self._learn(new if len(self.known) < CACHE else set(words))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        if new := list(set(words).difference(known)):
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        if len(known) >= CACHE:
+            known.clear()
+        # a full stop or comma after an ASCII letter is a token of its own
+        stems = {w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in words} | {b".", b","}
+        todo = list(stems.difference(known))
+        for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in words.difference(known):
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
 
 def tokenised(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
