@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, toxicity, urls
+from . import chat, langid, ngram_join, packing, toxicity, urls
 
 QUERIES = {
+    "op2_ngram_jaccard": ngram_join.op2,
     "op4_language_id": langid.op4,
     "op7_best_fit_packing": packing.op7,
     "op8_url_rules": urls.op8,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
 }
 SQL = {
+    "op2_ngram_jaccard": ngram_join.OP2_SQL,
     "op8_url_rules": urls.OP8_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
