@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, langid, ngram_join, packing, toxicity, urls
+from . import chat, embeddings, langid, ngram_join, packing, toxicity, urls
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2,
+    "op3_embedding_near_dedup": embeddings.op3,
     "op4_language_id": langid.op4,
     "op7_best_fit_packing": packing.op7,
     "op8_url_rules": urls.op8,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
+    "op3_embedding_near_dedup": embeddings.OP3_SQL,
     "op8_url_rules": urls.OP8_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
