@@ -37,7 +37,7 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n."""
     size = max(WINDOW + 1, 1 << (n - 1).bit_length())
     if size > WINDOW + 1:
@@ -67,7 +67,7 @@ def _hash_window(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     begins[at] |= ~space[at]
     ends[at - 1] |= ~space[at - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[: len(data)], out=total[1:])
     return starts, mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, langid, ngram_join, packing, pii, toxicity, urls
+from . import chat, decontaminate, embeddings, langid, ngram_join, packing, pii, substring, toxicity, urls
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1,
     "op2_ngram_jaccard": ngram_join.op2,
     "op3_embedding_near_dedup": embeddings.op3,
     "op4_language_id": langid.op4,
