@@ -26,8 +26,8 @@ from ._store import cut, map_arrow, partitions
 
 CAPACITY = 4096
 SEPARATOR = 1
-#: Entries of an executor's table of words met; it starts anew beyond that.
-CACHE = 400_000
+#: Words of which a worker keeps the ids in each of two generations; the older one goes when the younger is full.
+CACHE = 500_000
 
 
 class Encoder:
@@ -43,21 +43,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         raw = text.encode("utf-8", "replace").replace(b"\n", b" ")
         words = (raw if b"<|" in raw else raw.lower()).split(b" ")
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(new if len(self.known) < CACHE else set(words))
+        if new := set(words).difference(self.known):
+            if len(self.known) >= CACHE:
+                self.older, self.known = self.known, {}
+                new = set(words)
+            self._learn(new)
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
     def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) >= CACHE:
-            known.clear()
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in words if w in older)
         # a full stop or comma after an ASCII letter is a token of its own
-        stems = {w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in words} | {b".", b","}
+        stems = {w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in words.difference(known)} | {b".", b","}
+        known.update((w, older[w]) for w in stems if w in older)
         todo = list(stems.difference(known))
         for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
@@ -65,15 +68,25 @@ class Encoder:
             known[w] = known[w[:-1]] + known[w[-1:]]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder; what it has met serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenised(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A null text is empty and gives one piece of one id."""
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([separator], "<u4")
         for b in batches:
             out = []
