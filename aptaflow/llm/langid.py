@@ -8,7 +8,6 @@ its ends), or if it has none, of its 4-grams, and so on down to single letters.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ LONGEST = 5
 #: Words of a text count in score() as at most so many, else any score were 0 or 1.
 EVIDENCE = 20
 #: Entries of an executor's table of words met; it starts anew beyond that.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -42,7 +41,7 @@ class Model:
         self.words = self._table({k: counts[k] for k in self.langs})
         self.grams = []
         for n in range(LONGEST, 0, -1):
-            by_lang = {}
+            by_lang: dict[str, dict[str, int]] = {}
             for lang in self.langs:
                 by_lang[lang] = defaultdict(int)
                 for word, c in counts[lang].items():
@@ -55,17 +54,19 @@ class Model:
         marked = f"^{word}$" if n > 1 else word
         return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
-    def _table(self, by_lang: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        keys = set().union(*by_lang.values()) if by_lang else set()
-        totals = [sum(by_lang[x].values()) + 0.5 * len(keys) for x in self.langs]
-        return {k: np.array([math.log((by_lang[x].get(k, 0) + 0.5) / t) for x, t in zip(self.langs, totals, strict=True)], np.float32) for k in keys}
+    def _table(self, by_lang: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        """(row of each key, log frequencies by row and language)."""
+        keys = sorted(set().union(*by_lang.values())) if by_lang else []
+        rows = np.array([[by_lang[x].get(k, 0) for x in self.langs] for k in keys], np.float64).reshape(len(keys), len(self.langs))
+        return dict(zip(keys, range(len(keys)), strict=True)), np.log((rows + 0.5) / (rows.sum(axis=0) + 0.5 * max(1, len(keys)))).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        if (v := self.words.get(word)) is not None:
-            return v
-        for n, table in self.grams:
-            if known := [v for g in self._cut(word, n) if (v := table.get(g)) is not None]:
-                return np.mean(known, axis=0)
+        table, rows = self.words
+        if (k := table.get(word)) is not None:
+            return rows[k]
+        for n, (table, rows) in self.grams:
+            if known := [k for g in self._cut(word, n) if (k := table.get(g)) is not None]:
+                return rows[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -83,7 +84,7 @@ class Scores(dict):
         return k
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 8000, max_words: int = 30_000) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 8000, max_words: int = 20_000) -> Model:
     """A model of about max_docs of the labelled documents (by a hash of their key) and max_words words a language."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 

@@ -35,8 +35,10 @@ from ._text import mix, shingle_sets
 EXACT_FROM, RATIO, SLACK, LEAST = Fraction(7, 8), 1.5, 0.15, 3
 MISS, ROWS = 1e-9, 4
 #: Bounds of a tile.
-TILE_ROWS, TILE_TOKENS = 1500, 1_500_000
+TILE_ROWS, TILE_TOKENS = 768, 1_000_000
 FANOUT = 8
+#: Pairs of nodes of which the children are made at once.
+PARENTS = 1 << 13
 #: Rows up to which document ids are broadcast to pick texts; more go through a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -244,18 +246,28 @@ def _walk(one: Tree, two: Tree, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     same = one is two
     top = len(one.levels) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(one.levels[top][0])), np.arange(len(two.levels[top][0])), indexing="ij"))
+    ways = np.arange(FANOUT)
     for level in range(top, -1, -1):
+        if level == top:
+            keep = _may_link(one.levels[top], two.levels[top], i, j, t)
+            i, j = i[keep], j[keep]
         if same:
             keep = i <= j if level else i < j
             i, j = i[keep], j[keep]
-        keep = _may_link(one.levels[level], two.levels[level], i, j, t)
-        i, j = i[keep], j[keep]
         if not level or not len(i):
             return i, j
-        ways = np.arange(FANOUT)
-        i, j = (np.repeat(i[:, None] * FANOUT + ways, FANOUT, axis=1).ravel(), np.tile(j[:, None] * FANOUT + ways, (1, FANOUT)).ravel())
-        keep = (i < len(one.levels[level - 1][0])) & (j < len(two.levels[level - 1][0]))
-        i, j = i[keep], j[keep]
+        # the children's sizes rule out most pairs; some parents at a time keep this small
+        n, m, found = len(one.levels[level - 1][0]), len(two.levels[level - 1][0]), []
+        for s in range(0, len(i), PARENTS):
+            x = np.repeat(i[s : s + PARENTS, None] * FANOUT + ways, FANOUT, axis=1).ravel()
+            y = np.tile(j[s : s + PARENTS, None] * FANOUT + ways, (1, FANOUT)).ravel()
+            keep = (x < n) & (y < m)
+            if same:
+                keep &= x <= y
+            x, y = x[keep], y[keep]
+            keep = _may_link(one.levels[level - 1], two.levels[level - 1], x, y, t)
+            found.append((x[keep].astype(np.int32), y[keep].astype(np.int32)))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     return i, j
 
 

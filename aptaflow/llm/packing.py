@@ -27,7 +27,7 @@ from ._store import cut, map_arrow, partitions
 CAPACITY = 4096
 SEPARATOR = 1
 #: Words of which a worker keeps the ids in each of two generations; the older one goes when the younger is full.
-CACHE = 500_000
+CACHE = 250_000
 
 
 class Encoder:
