@@ -151,6 +151,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without letters and those with no clear language go."""
+    """Documents in one of the learned languages, however short; texts without letters go, and those of which no word or
+    n-gram is known, whose score is the same for each of several languages."""
     model = fit(train_rows(docs))
-    return predict(docs, model, pred="_lang", score="_score").filter("_lang <> 'und' and _score >= 0.4").drop("_lang", "_score")
+    even = 1.001 / len(model.langs) if len(model.langs) > 1 else 0.0
+    return predict(docs, model, pred="_lang", score="_score").filter((F.col("_lang") != "und") & (F.col("_score") >= even)).drop("_lang", "_score")
