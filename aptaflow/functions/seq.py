@@ -51,8 +51,9 @@ def hamming_search(text: Column, pattern: Column, tolerance: int, low: Column |
     n = F.length(pattern)
     places = F.sequence(low, F.greatest(high - n, low))
     best = F.array_min(F.transform(places, lambda k: F.struct(hamming_at(text, pattern, k).alias("errors"), k.alias("index"))))
-    hit = F.when(high - low >= n, best)
-    return F.when(hit["errors"] <= tolerance, F.struct(hit["index"].alias("index"), hit["errors"].alias("errors")))
+    # through an array of one, so that the search stands in the plan once
+    hits = F.transform(F.array(F.when(high - low >= n, best)), lambda h: F.when(h["errors"] <= tolerance, F.struct(h["index"].alias("index"), h["errors"].alias("errors"))))
+    return F.get(hits, F.lit(0))
 
 
 def overlapped(start1: Column, length1: Column, start2: Column, length2: Column) -> Column:

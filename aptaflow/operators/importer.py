@@ -161,6 +161,23 @@ def parse_fuzzy(reads: DataFrame, config: Config, contig: str = "fwd") -> DataFr
     return reads.select(*names).mapInArrow(run, schema)
 
 
+def merge_pairs(reads: DataFrame, least: int = 15, identity: float = 1 - 5 / 15) -> DataFrame:
+    """reads (fwd, fwd_qual, rev, rev_qual) with contig and contig_qual, null where a pair does not overlap.
+
+    A null contig then counts as an invalid alphabet, as in the reference. Reads without a reverse read keep the forward one.
+    """
+    ship(reads.sparkSession)
+    fields = [f for f in reads.schema.fields if f.name not in ("contig", "contig_qual")]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, p) if r is None else matching.merge_pair(f, p, r, q, least, identity) or (None, None) for f, p, r, q in zip(*[b.column(c).to_pylist() for c in ("fwd", "fwd_qual", "rev", "rev_qual")], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *[pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)]], names=[*names, "contig", "contig_qual"])
+
+    return reads.select(*names).mapInArrow(run, T.StructType([*fields]).add("contig", "string").add("contig_qual", "string"))
+
+
 def counters(parsed: DataFrame) -> DataFrame:
     """(stat, value): the eight counters, 0 where nothing was counted. Reads of an invalid alphabet are not processed."""
     sums = {x: F.count(F.when(F.col("outcome") == x, 1)) for x in COUNTERS[1:]} | {COUNTERS[0]: F.count(F.when(F.col("outcome") != ALPHABET, 1))}

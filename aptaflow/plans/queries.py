@@ -135,7 +135,7 @@ _LONG = "ACGTTGGAACCACGTACGATTGGAACCTTGACCAGT"
 def hamming_primer_search(spark: SparkSession, d: str) -> DataFrame:
     """A pattern of more than 32 bases: the first place of the fewest mismatches."""
     s = X.sequence_of(F.col("p_partkey"))
-    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(s, s).alias("t"))
+    rows = cut(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(s, s).alias("t")))
     hit = seq.hamming_search(F.col("t"), F.lit(_LONG), 26)
     return rows.withColumn("hit", hit).filter("hit is not null").select("p_partkey", F.col("hit.errors").cast("int").alias("errors"), F.col("hit.index").cast("int").alias("index"))
 
@@ -147,6 +147,16 @@ def fuzzy_import(spark: SparkSession, d: str) -> DataFrame:
     return importer.parse_fuzzy(X.reads(spark, d), config).groupBy("outcome", "start_index", "end_index").agg(F.count("*").alias("n"))
 
 
+@query()
+def paired_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted reads cut into overlapping pairs, merged again, by outcome."""
+    rows = X.reads(spark, d).filter("l_orderkey % 10 >= 5")
+    back = seq.reverse_complement(F.substring("fwd", 11, 30))
+    pairs = rows.select("fwd", F.substring("fwd", 1, 30).alias("f"), F.substring("fwd_qual", 1, 30).alias("fwd_qual"), back.alias("rev"), F.reverse(F.substring("fwd_qual", 11, 30)).alias("rev_qual"))
+    merged = importer.merge_pairs(pairs.withColumnRenamed("fwd", "whole").withColumnRenamed("f", "fwd"))
+    return importer.parse_exact(merged, X.CONFIG, "contig").groupBy("outcome", (F.col("contig") == F.col("whole")).alias("same")).agg(F.count("*").alias("n"))
+
+
 @query(X.twin("SELECT l_orderkey % 10 AS kind, bool_and(fwd = translate(reverse(translate(reverse(fwd), 'ACGT', 'TGCA')), 'ACGT', 'TGCA')) AS involution, min(translate(reverse(fwd), 'ACGT', 'TGCA')) AS least FROM reads GROUP BY 1"))
 def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
     rows = X.reads(spark, d)
