@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..operators import catalog, fsbc, importer, lsh, metadata, motif, pool
+from ..operators import catalog, fsbc, importer, lsh, metadata, motif, pool, structure
 from ..store import cut
 from . import experiment as X
 
@@ -540,6 +540,30 @@ def paired_probability(spark: SparkSession, d: str) -> DataFrame:
     return p.select("region", r6(F.col("p")[0], "p1"), r6(F.col("p")[19], "p20"), r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), "total"))
 
 
+def _distinct_regions(spark: SparkSession, d: str) -> DataFrame:
+    return cut(X.accepted(spark, d).select("region").distinct())
+
+
+@query()
+def mfe(spark: SparkSession, d: str) -> DataFrame:
+    """The structure of least energy of each region."""
+    return structure.mfe(_distinct_regions(spark, d), "region")
+
+
+@query()
+def bppm(spark: SparkSession, d: str) -> DataFrame:
+    """The pair probabilities of each region that are not negligible: sequence, i, j, p."""
+    out = structure.bppm(_distinct_regions(spark, d), "region").select("sequence", F.posexplode("bppm").alias("at", "p"))
+    places = F.broadcast(triu_index(spark, d).filter(f"j < {X.SIZE}").select("i", "j", seq.triangle_index(F.col("i"), F.col("j"), F.lit(X.SIZE)).alias("at")))
+    return out.filter("p > 0.0001").join(places, "at").select("sequence", "i", "j", r6("p", "p"))
+
+
+@query()
+def capr_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The context profile of each region: hairpin, bulge, interior, multiple loop, outside."""
+    return structure.profiles(_distinct_regions(spark, d), "region").select("sequence", F.transform("profile", lambda x: F.round(x, 6)).alias("profile"))
+
+
 @query("SELECT i::INT AS i, j::INT AS j, (row_number() OVER (ORDER BY i, j) - 1)::BIGINT AS index FROM range(0, 40) a(i), range(0, 40) b(j) WHERE i < j")
 def triu_index(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.range(40 * 40).select((F.col("id") / 40).cast("int").alias("i"), (F.col("id") % 40).cast("int").alias("j")).filter("i < j")
