@@ -559,7 +559,7 @@ def bppm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def capr_profile(spark: SparkSession, d: str) -> DataFrame:
+def context_profile(spark: SparkSession, d: str) -> DataFrame:
     """The context profile of each region: hairpin, bulge, interior, multiple loop, outside."""
     return structure.profiles(_distinct_regions(spark, d), "region").select("sequence", F.transform("profile", lambda x: F.round(x, 6)).alias("profile"))
 
