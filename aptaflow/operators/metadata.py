@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
@@ -38,4 +38,4 @@ def base_ratios(counts: DataFrame, column: str = "region") -> DataFrame:
     """(base, ratio): the share of each base, weighted by counts. The bases are counted within each row first."""
     kinds = F.array(*[F.struct(F.lit(b).alias("base"), (F.length(column) - F.length(F.replace(F.col(column), F.lit(b), F.lit("")))).alias("n")) for b in "ACGTU"])
     rows = counts.select("count", F.explode(kinds).alias("b")).groupBy("b.base").agg(F.sum(F.col("b.n") * F.col("count")).alias("n")).filter("n > 0")
-    return rows.crossJoin(F.broadcast(rows.agg(F.sum("n").alias("all")))).select("base", (F.col("n") / F.col("all")).alias("ratio"))
+    return rows.select("base", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("ratio"))  # five rows at most

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import seq
 from ..store import cut
 
+#: Sets of motifs up to which they are looked through on the driver.
+MAX_SETS = 100_000
 LEAST, STRONG, THETA, LOW_SCORE, TRIM, COVERED = 100, 0.01, 10, 1e-6, 1.70, 0.67
 _CTX = range(5)
 
@@ -245,7 +247,7 @@ def motifs(counts: DataFrame, regions: DataFrame, config: Config = Config()) ->
     many = (F.col("count") > config.alpha) | (F.col("round") == rounds[0])
     sums = [F.sum(F.when(c, F.col("ctx")[i] * F.col("count")).otherwise(0.0)).alias(f"{n}{i}") for n, c in (("m", many), ("f", rare)) for i in _CTX]
     ctx = {(r["motif"], r["round"]): r for r in hits.groupBy("motif", "round").agg(F.sum(F.when(many, F.col("count")).otherwise(0)).alias("m"), F.sum(F.when(rare, F.col("count")).otherwise(0)).alias("f"), *sums).collect()}
-    own = now.filter(~rare).select("motif", "sequence", "count").distinct()
+    own = cut(now.filter(~rare).select("motif", "sequence", "count").distinct())
     dropped = _covered(own, len(clusters)) if config.filter_clusters else set()
     n_own = {r["motif"]: r["n"] for r in own.groupBy("motif").agg(F.count("*").alias("n")).collect()}
     out = []
@@ -277,16 +279,21 @@ def motifs(counts: DataFrame, regions: DataFrame, config: Config = Config()) ->
 def _covered(own: DataFrame, n: int) -> set[int]:
     """Motifs of whose reads more than 67 % belong to aptamers of earlier kept motifs; those without reads too.
 
-    own: motif, sequence, count. One aggregation for each motif, as what counts depends on those kept before.
+    own: motif, sequence, count. What counts depends on the motifs kept before, so the decisions are taken one by one, but over
+    the sets of motifs that aptamers hold, with the reads of each set added up. If there are very many such sets, each
+    motif is an aggregation of its own instead.
     """
+    sets = own.groupBy("sequence").agg(F.sort_array(F.collect_set("motif")).alias("motifs"), F.max("count").alias("count"))
+    sets = cut(sets.groupBy("motifs").agg(F.sum("count").alias("count")))
     dropped: set[int] = set()
-    for m in range(n):
-        kept = [i for i in range(m) if i not in dropped]
-        before = own.filter(F.col("motif").isin(kept)).select("sequence").distinct().withColumn("old", F.lit(1)) if kept else None
-        mine = own.filter(F.col("motif") == m)
-        mine = mine.join(before, "sequence", "left") if kept else mine.withColumn("old", F.lit(None).cast("int"))
-        r = mine.agg(F.sum("count").alias("all"), F.sum(F.when(F.col("old") == 1, F.col("count")).otherwise(0)).alias("old")).first()
-        if not r["all"] or r["old"] / r["all"] > COVERED:
+    if sets.count() <= MAX_SETS:
+        rows = [(set(r["motifs"]), r["count"]) for r in sets.collect()]
+        shares = ((sum(c for s, c in rows if m in s), sum(c for s, c in rows if m in s and s & kept)) for m in range(n) for kept in [set(range(m)) - dropped])
+    else:
+        old = lambda m: F.size(F.array_intersect("motifs", F.array(*[F.lit(i) for i in range(m) if i not in dropped]).cast("array<int>"))) > 0
+        shares = (sets.filter(F.array_contains("motifs", m)).agg(F.sum("count"), F.sum(F.when(old(m), F.col("count")).otherwise(0))).first() for m in range(n))
+    for m, (total, old_reads) in enumerate(shares):
+        if not total or old_reads / total > COVERED:
             dropped.add(m)
     return dropped
 
