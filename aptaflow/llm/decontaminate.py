@@ -87,7 +87,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
         met = met.select("doc_id", "item_id", "item_at", "shift", slots.alias("slots"))
         out = met if out is None else out.unionByName(met)
     if out is None:
-        return docs.select("doc_id").crossJoin(benchmark.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("share"), F.lit(True).alias("exact")).limit(0)
+        kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, n_windows long, share double, exact boolean")
     lines = out.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     side = lambda s: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x[s]))))
     lines = lines.filter((F.size("slots") == side("a")) & (F.size("slots") == side("b")))

@@ -290,7 +290,7 @@ def tokenizer():
 def test_encoder_equals_the_tokenizer(tokenizer):
     encoder = packing.Encoder(tokenizer[0])
     for x in ["a<|endoftext|>b c", "  x\n\ny é é ́q", "İ'S don't   z\x1cq　k", "", "\n", "The end. THE, end.. 5. é, &&&,", "ﬁ Σας ΣΑΣ ẛ̣ 한국 ᄒ ᅡ"] * 2:
-        assert encoder.ids(x)[0].tolist() == tokenizer[1].encode(x, add_special_tokens=False).ids
+        assert encoder.ids(x).tolist() == tokenizer[1].encode(x, add_special_tokens=False).ids
 
 
 def test_packing(spark, tokenizer):
