@@ -15,6 +15,7 @@ Ranks are counted within salted parts of a length, so a length that a third of a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from ._store import cut, map_arrow, partitions
 
 CAPACITY = 4096
 SEPARATOR = 1
-#: Words of which a worker keeps the ids in each of two generations; the older one goes when the younger is full.
-CACHE = 250_000
+#: Words of which a worker keeps the ids in each of two generations; the older one goes when the younger is full. About 200 MB.
+CACHE = 500_000
+#: The same where other operators' tables stand in the same workers. Results do not depend on it.
+SMALL_CACHE = 200_000
 
 
 class Encoder:
@@ -38,9 +41,10 @@ class Encoder:
     added tokens must hold no white space; a text with ``<|`` is not lower-cased beforehand, as such tokens are matched first.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -49,7 +53,7 @@ class Encoder:
         raw = text.encode("utf-8", "replace").replace(b"\n", b" ")
         words = (raw if b"<|" in raw else raw.lower()).split(b" ")
         if new := set(words).difference(self.known):
-            if len(self.known) >= CACHE:
+            if len(self.known) >= self.cache:
                 self.older, self.known = self.known, {}
                 new = set(words)
             self._learn(new)
@@ -63,30 +67,30 @@ class Encoder:
         known.update((w, older[w]) for w in stems if w in older)
         todo = list(stems.difference(known))
         for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = array("I", e.ids).tobytes()
         for w in words.difference(known):
             known[w] = known[w[:-1]] + known[w[-1:]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, cache: int) -> Encoder:
     """The worker's encoder; what it has met serves the worker's later tasks."""
-    if path not in _ENCODERS:
+    if (path, cache) not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
-def tokenised(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A null text is empty and gives one piece of one id."""
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, cache)
         end = np.array([separator], "<u4")
         for b in batches:
             out = []
@@ -227,12 +231,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("d
     return map_arrow(ranked, run, schema)
 
 
-def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """Tokenised and packed documents. path: a tokenizer's file, on every machine."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(cut(tokenised(docs, path)))
+    return pack(cut(tokenised(docs, path, cache=cache)))
 
 
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -244,4 +249,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    return packed(docs).select(*COLUMNS)
+    return packed(docs, cache=SMALL_CACHE).select(*COLUMNS)
