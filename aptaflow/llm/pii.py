@@ -45,8 +45,8 @@ CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 TYPES = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "ssn": SSN, "phone": PHONE, "card": CARD, "name": _NAME}
 _EDGED = "|".join(f"(?:{TYPES[k]})(?![\\p{{L}}\\p{{N}}])" for k in ("secret", "iban", "ip", "ssn", "phone"))
 PATTERN = rf"(?<![\p{{L}}\p{{N}}._%+-]){EMAIL}|(?<![\p{{L}}\p{{N}}])(?<![0-9]\.)(?:{_EDGED}|{_NAME})|(?<![0-9]){CARD}(?![0-9])"
-#: What every entity has: a digit, an at sign, or a name.
-HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}]){_NAME}"
+#: What every entity has: a digit, an at sign, the start of a secret, 32 letters a-f (a secret needs no digit), or a name.
+HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z]{{16}}|(?:ghp|gho|sk|pk|xox[bp])[_-]|[a-fA-F]{{32}}|(?<![\p{{L}}\p{{N}}]){_NAME}"
 
 
 def mentions(text: Column) -> Column:
