@@ -404,10 +404,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near copies (five-word shingles, similarity 0.8): of each group the smallest doc_id stays.
 
-    Rows that repeat a doc_id stay or go together.
+    Rows that repeat a doc_id stay or go together. Each row with a null doc_id is a document of its own, after all others:
+    it goes if it is a near copy of a document with an id or of an earlier one without, else it stays.
     """
-    keep = join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    kind = docs.schema["doc_id"].dataType
+    top = docs.agg(F.max("doc_id").cast("long").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("bare")).first()
+    after = max(0, 0 if top.top is None else top.top + 1)
+    every = docs
+    if top.bare:
+        every = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+        every = every.unionByName(cut(docs.filter("doc_id is null").withColumn("doc_id", F.lit(after).cast("long") + F.monotonically_increasing_id())))
+    keep = join(every).filter("doc_id = component_id").select("doc_id").distinct()
+    out = every.join(keep, "doc_id", "left_semi")
+    if top.bare:
+        out = out.withColumn("doc_id", F.when(F.col("doc_id") < after, F.col("doc_id")).cast(kind))
+    return out.select(*docs.columns)
 
 
 OP2_SQL = r"""

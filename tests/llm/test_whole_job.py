@@ -1,12 +1,18 @@
 """What the findings of the first advice ask for: each test fails on the code before."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from aptaflow.llm import pii
+from aptaflow.llm import ngram_join, pii
 
 DOCS = "doc_id long, text string"
 
 
+def prose(rng, n, vocabulary=10**6):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
 # --- op 6 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -18,3 +24,18 @@ def test_secrets_without_a_digit(spark):
     out = {r.doc_id: r for r in pii.replace(docs, count="n").collect()}
     for i, x in enumerate(secrets + others):
         assert out[i].n == 1 and x not in out[i].text, x
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------------
+
+
+def test_near_copies_keep_rows_without_id(spark):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, a), (3, c), (None, a + " more"), (None, b), (None, b), (None, None), (None, "")]
+    out = ngram_join.stage(spark, spark.createDataFrame(rows, DOCS).withColumn("n", F.lit(1)), "")
+    assert out.columns == ["doc_id", "text", "n"] and out.schema["doc_id"].dataType.simpleString() == "bigint"
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (3, c), (None, b), (None, None), (None, "")], key=str)
+    alone = spark.createDataFrame([(None, b)], DOCS)
+    assert ngram_join.stage(spark, alone, "").count() == 1
