@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from aptaflow.llm import ngram_join, pii
+from aptaflow.llm import ngram_join, pii, substring
 
 DOCS = "doc_id long, text string"
 
@@ -13,6 +13,25 @@ def prose(rng, n, vocabulary=10**6):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
+# --- op 1 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_fragments_do_not_hide_a_verbatim_passage(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for g in range(0, 60, 4):  # two documents with 45 words each of the passage that the next two hold whole
+        p = prose(rng, 80).split()
+        texts = [p[:45], p[35:], p, p]
+        rows += [(g + i, " ".join([prose(rng, 20), *x, prose(rng, 20)])) for i, x in enumerate(texts)]
+        want.append((g + 3, g + 2, 20, 80, 20, 80))
+    p = prose(rng, 50).split()  # nothing but the least passage, all but one word of it elsewhere
+    rows += [(100, " ".join(p[:49])), (101, " ".join(p[1:])), (102, " ".join(["x", *p, "y"])), (103, " ".join(p))]
+    want.append((103, 102, 0, 50, 1, 50))
+    out = substring.passages(spark.createDataFrame(rows, DOCS)).collect()
+    got = {(r.doc_id, r.other_id, r.start, r.n_words, r.other_start, r.other_words) for r in out}
+    assert got == set(want)
+
+
 # --- op 6 ----------------------------------------------------------------------------------------------------------------
 
 
