@@ -35,7 +35,7 @@ def template(words: Column) -> Column:
 
     def of(word: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(words, i - 1))
-        core = F.regexp_replace(word, r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}$€£%]+$", "")
+        core = _core(word)
         return (
             F.when(word.rlike("^[a-z]+$") & ~before.rlike(r"[0-9]").eqNullSafe(True), word)
             .when(core.rlike(_NUMBER), F.lit(NUMBER))
@@ -49,10 +49,31 @@ def template(words: Column) -> Column:
     return F.transform(words, of)
 
 
-def _windows(texts: DataFrame, size: int) -> DataFrame:
-    """texts (id, words, hashes) with a row for each window: at, key."""
+def _core(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}$€£%]+$", "")
+
+
+def _firsts(words: Column) -> Column:
+    """The templates that the first of words can have where a word stands before it, as a name or a unit."""
+    core = _core(F.get(words, F.lit(0)))
+    options = F.array(F.when(core.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(NAME)), F.when(F.lower(core).isin(*UNITS), F.lit(UNIT)))
+    return F.filter(options, lambda x: x.isNotNull())
+
+
+def _windows(texts: DataFrame, size: int, firsts: Column | None = None) -> DataFrame:
+    """texts (id, words, hashes) with a row for each window: at, key.
+
+    firsts: templates of the first word besides its own, each of which makes one more row of the first window, with the
+    template in ``first``, else null.
+    """
     n = F.size("hashes")
+    if firsts is not None:
+        own = F.struct(F.lit(None).cast("string").alias("first"), F.col("hashes").alias("hashes"))
+        other = F.transform(firsts, lambda x: F.struct(x.alias("first"), F.concat(F.array(F.xxhash64(x)), F.slice("hashes", 2, size - 1)).alias("hashes")))
+        texts = texts.withColumn("way", F.explode(F.concat(F.array(own), other))).withColumn("hashes", F.col("way.hashes")).withColumn("first", F.col("way.first")).drop("way")
     rows = texts.withColumn("at", F.explode(F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))))
+    if firsts is not None:
+        rows = rows.filter((F.col("at") == 0) | F.col("first").isNull())
     return rows.withColumn("key", F.xxhash64(*[F.get("hashes", F.col("at") + j) for j in range(size)]))
 
 
@@ -66,7 +87,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
 
     An item is found if at least ``share`` of its windows stand in the document in consistent alignments. Windows with fewer
     than half literal words do not count. Items of fewer words than the window are matched as one window if they have at
-    least LITERALS words, else never. Rows that repeat a doc_id count as one document, those that repeat an item_id as one
+    least LITERALS words, else never. The first word of an item matches itself also where the words before it in the document
+    make it a name or a unit. Rows that repeat a doc_id count as one document, those that repeat an item_id as one
     item; rows with a null id or text are passed over. Empty tables give no rows. Other columns are not read.
     """
     items = _hashed(benchmark, "item_id", text).withColumn("shape", template(F.col("words")))
@@ -76,12 +98,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     hashed = _hashed(docs, "doc_id", text)
     for size in sizes:
         part = lambda c: F.slice(F.col(c), F.col("at") + 1, F.lit(size))  # noqa: E731, B023
-        rows = _windows(items.filter(F.col("size") == size), size)
-        rows = rows.select("key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), part("words").alias("item_words"), part("shape").alias("shape"))
+        rows = _windows(items.filter(F.col("size") == size), size, _firsts(F.col("words")))
+        rows = rows.select("key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), part("words").alias("item_words"), part("shape").alias("shape"), "first")
         rows = rows.filter(F.size(F.filter("shape", lambda w: ~w.startswith("\u0001"))) >= min(LITERALS, size)).distinct()
         if rows.count() <= BROADCAST_WINDOWS:
             rows = F.broadcast(rows)
-        met = _windows(hashed, size).join(rows, "key").select("item_id", F.col("id").alias("doc_id"), "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("shape", "item_words", part("words").alias("doc_words")).alias("z"))
+        same = F.lower(_core(F.get("item_words", F.lit(0)))) == F.lower(_core(F.get("words", F.col("at"))))
+        met = _windows(hashed, size).join(rows, "key").filter(F.col("first").isNull() | same).select("item_id", F.col("id").alias("doc_id"), "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("shape", "item_words", part("words").alias("doc_words")).alias("z"))
         bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
         slots = F.transform(F.filter("z", lambda x: x["shape"].startswith("\u0001")), lambda x: F.struct(x["shape"].alias("kind"), bare(x["item_words"]).alias("a"), bare(x["doc_words"]).alias("b")))
         met = met.select("doc_id", "item_id", "item_at", "shift", slots.alias("slots"))

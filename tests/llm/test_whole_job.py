@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from aptaflow.llm import ngram_join, pii, substring
+from aptaflow.llm import decontaminate, ngram_join, pii, substring
 
 DOCS = "doc_id long, text string"
 
@@ -32,6 +32,16 @@ def test_fragments_do_not_hide_a_verbatim_passage(spark):
     assert got == set(want)
 
 
+# --- op 5 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_short_items_after_a_word(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "minutes are what the clock shows"), (3, "Rome was not built in one day")], "item_id long, text string")
+    docs = [(1, "Quiz 5 What is the capital of France? yes"), (2, "Heading\nWhat is the capital of France?"), (3, "end. What is the capital of France?"), (4, "what is the capital of France?"), (5, "Quiz Anna is the capital of France?"), (6, "5 minutes are what the clock shows"), (7, "the Rome was not built in one day")]
+    out = {(r.doc_id, r.item_id, r.share, r.exact) for r in decontaminate.find(spark.createDataFrame(docs, DOCS), items).collect()}
+    assert out == {(i, 1, 1.0, True) for i in (1, 2, 3, 4)} | {(6, 2, 1.0, True), (7, 3, 1.0, True)}
+
+
 # --- op 6 ----------------------------------------------------------------------------------------------------------------
 
 
