@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from aptaflow.llm import decontaminate, ngram_join, pii, substring
@@ -32,6 +33,13 @@ def test_fragments_do_not_hide_a_verbatim_passage(spark):
     assert got == set(want)
 
 
+def test_a_window_joins_the_seeds_in_it():
+    m = np.array([(2, 1, 0, 10, 100), (2, 1, 20, 30, 0), (2, 1, 60, 70, 90)], substring.MATCH)
+    assert list(substring._runs(m, 6)) == [(2, 1, [(0, 10, 150)])]
+    w = np.array([(2, 1, i, i + 10, 50) for i in range(5)], substring.MATCH)
+    assert substring.merged(w).tolist() == [(2, 1, 0, 10, 54)]
+
+
 # --- op 5 ----------------------------------------------------------------------------------------------------------------
 
 
