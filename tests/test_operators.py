@@ -100,7 +100,7 @@ def test_search_finds_a_planted_string(spark):
     import random
 
     rng = random.Random(1)
-    rows = [("".join(rng.choice("ACGT") for _ in range(7)) + ("GATTC" if i % 3 == 0 else "".join(rng.choice("ACGT") for _ in range(5))) + "ACGTACG"[: rng.randint(3, 7)], 1) for i in range(200)]
+    rows = [("".join(rng.choice("ACGT") for _ in range(7)) + ("GATTC" if i % 3 == 0 else "".join(rng.choice("ACGT") for _ in range(5))) + "".join(rng.choice("ACGT") for _ in range(rng.randint(3, 7))), 1) for i in range(200)]
     counts = spark.createDataFrame(rows, "region string, count long")
     assert "GATTC" in fsbc.search(counts, 5, 6).orderBy("rank").first().subsequence
     assert fsbc.search(counts.limit(0), 5, 6).count() == 0
