@@ -1,7 +1,7 @@
 """Language identification: known words first, shorter and shorter character n-grams for the others.
 
-fit() counts the words of a bounded sample of labelled documents in Spark and keeps the most frequent ones of each language;
-the n-gram tables come from these words. The model is at most max_words words a language and so fits any executor.
+fit() counts the words of a bounded sample of labelled documents in Spark and keeps those that occur often enough in a
+language; the n-gram tables come from these words. The sample bounds the model, so that it fits any executor.
 A known word scores its log frequency in each language. An unseen word scores the mean of its known 5-grams (with marks at
 its ends), or if it has none, of its 4-grams, and so on down to single letters. The language of the highest sum wins.
 """
@@ -9,12 +9,13 @@ its ends), or if it has none, of its 4-grams, and so on down to single letters.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,14 +24,21 @@ from ._store import map_arrow
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Words of a text count in score() as at most so many, else any score were 0 or 1.
+#: The sample of labelled documents, and how often a word must occur in it to be a known word of its language.
+MAX_DOCS, SUPPORT = 8000, 3
+#: Calibration of the score only, not of the language: words of a text are not independent, so a text of more words counts as
+#: one of so many. With each word counted all scores were 0 or 1.
 EVIDENCE = 20
 #: Entries of an executor's table of words met; it starts anew beyond that.
 CACHE = 100_000
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters in lower case; number signs such as superscripts and Roman numerals are not letters."""
+    words = WORD.findall(text.lower())
+    if text.isascii():
+        return words
+    return [w for x in words for w in ((x,) if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 class Model:
@@ -84,21 +92,24 @@ class Scores(dict):
         return k
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 8000, max_words: int = 20_000) -> Model:
-    """A model of about max_docs of the labelled documents (by a hash of their key) and max_words words a language."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS, support: int = SUPPORT) -> Model:
+    """A model of about max_docs of the labelled documents, by a hash of their key.
+
+    A word is known in a language in which it occurs ``support`` times or more in these; no further bound is set on words.
+    Rows whose text or language is null are passed over, repeated rows count each time.
+    """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = Counter()
-            for t, label in zip(b.column("t").to_pylist(), b.column("l").to_pylist(), strict=True):
-                seen.update((label, w) for w in words_of(t))
+            for t, label in zip(b.column("t"), b.column("l").to_pylist(), strict=True):
+                seen.update((label, w) for w in words_of(t.as_py()))
             yield pa.RecordBatch.from_pydict({"l": [x[0] for x in seen], "w": [x[1] for x in seen], "n": pa.array(seen.values(), pa.int64())})
 
     words = map_arrow(bounded_sample(labelled, "k", max_docs), count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= max_words)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.select("l", "w", "n").toLocalIterator():
+    for r in words.filter(F.col("n") >= support).toLocalIterator():
         counts[r["l"]][r["w"]] = r["n"]
     return Model(counts)
 
@@ -108,7 +119,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
     Texts that are null or hold no letter get ``und`` and 0.0, as do all texts under a model without languages. A text whose
     letters all are unknown gets the first language with an even score. Ties go to the first language by name. score is the
-    softmax of the mean word scores times the number of words, 20 at most. Other columns and repeated rows stay as they are.
+    softmax of the mean word scores times the number of words, EVIDENCE at most. Very long texts are read whole, one text in
+    memory at a time. Other columns and repeated rows stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(pred, score)
@@ -150,9 +162,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def keep(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float | None = None, text: str = "text") -> DataFrame:
+    """The rows of docs in one of ``languages`` (None: of all learned ones) with a score of ``least`` or more.
+
+    Texts that are null or without a letter go. By default ``least`` is just above an even score, which is what a text gets of
+    which no word and no n-gram is known; short texts of a learned language stay. Repeated rows stay or go together; all columns
+    of docs are kept whatever their names, null ones too. An empty table gives an empty one.
+    """
+    if least is None:
+        least = 1.001 / len(model.langs) if len(model.langs) > 1 else 0.0
+    pred, score = (f"{x}_{uuid.uuid4().hex}" for x in ("lang", "score"))
+    rows = predict(docs, model, text, pred, score).filter((F.col(pred) != "und") & (F.col(score) >= least))
+    if languages is not None:
+        rows = rows.filter(F.col(pred).isin(*languages))
+    return rows.drop(pred, score)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages, however short; texts without letters go, and those of which no word or
-    n-gram is known, whose score is the same for each of several languages."""
-    model = fit(train_rows(docs))
-    even = 1.001 / len(model.langs) if len(model.langs) > 1 else 0.0
-    return predict(docs, model, pred="_lang", score="_score").filter((F.col("_lang") != "und") & (F.col("_score") >= even)).drop("_lang", "_score")
+    """Documents in one of the learned languages, see keep()."""
+    return keep(docs, fit(train_rows(docs)))

@@ -15,8 +15,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._model import bounded_sample, remainder
-from ._store import map_arrow
+from ._store import cut, map_arrow
 
 # Look-alikes of Latin letters.
 LOOKALIKES = {
@@ -87,7 +89,12 @@ class Lexicon:
                 void.append((start, end))
             else:
                 hits.append((start, end, w))
-        return sum(w for s, e, w in hits if not any(a <= s and e <= b for a, b in void))
+        if not void:
+            return sum(w for _, _, w in hits)
+        # by their starts, each with the furthest end of those up to it: the one that may hold a hit
+        void.sort()
+        starts, ends = [a for a, _ in void], list(accumulate((b for _, b in void), max))
+        return sum(w for s, e, w in hits if not (k := bisect_right(starts, s)) or ends[k - 1] < e)
 
     def strength(self, text: str) -> float:
         total = self.total(text)
@@ -117,17 +124,22 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_words: int = 5000, support: int = 8) -> Lexicon:
-    """A lexicon from about max_docs labelled documents (by a hash of doc_id), of max_words words at most.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, support: int = 8) -> Lexicon:
+    """A lexicon from about max_docs labelled documents (by a hash of doc_id).
 
-    A word is taken if its log odds of standing in a toxic document are at least 3, two standard errors taken off.
+    Every word is taken whose log odds of standing in a toxic document are at least 3, two standard errors taken off, and that
+    stands in ``support`` toxic documents and three times as many contexts; every phrase around such a word is an exception
+    that stands in ``support`` contexts of documents that are not toxic, and in toxic ones no more often than chance. The
+    sample bounds both, no further limit is set.
 
-    labels: doc_id, toxic; of several labels of a document the highest counts, null labels do not. A word needs ``support``
-    toxic documents and as many contexts. Without toxic documents the lexicon is empty and every score is the same.
+    labels: doc_id, toxic; of several labels of a document the highest counts, null labels do not. Rows with a null text or
+    doc_id are passed over, repeated rows count each time. Without toxic documents the lexicon is empty and every score is
+    the same.
     """
     rows = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = F.broadcast(bounded_sample(rows, "doc_id", max_docs))  # at most max_docs pairs of numbers, but for chance
-    known = docs.filter("text is not null").select("doc_id", "text").join(rows, "doc_id").select("text", "toxic").persist()
+    known = docs.filter("text is not null").select("doc_id", "text").join(rows, "doc_id").select("text", "toxic")
+    known = cut(known)  # read by each step below
     spark = docs.sparkSession
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_words: i
     odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (good - F.col("good") + 0.5))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     words = map_arrow(known, spread, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    words = words.filter(F.col("bad") >= support).withColumn("w", odds).withColumn("z", F.col("w") / error).filter("w - 2 * w / z >= 3 and z >= 4").orderBy(F.desc("z"), "word").limit(max_words)
+    words = words.filter(F.col("bad") >= support).withColumn("w", odds).withColumn("z", F.col("w") / error).filter("w - 2 * w / z >= 3 and z >= 4")
     weights = {r["word"]: r["w"] for r in words.collect()} if bad and good else {}
     shared = spark.sparkContext.broadcast(set(weights))
 
@@ -159,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_words: i
     weights = {w: x for w, x in weights.items() if w in enough}
     rate = bad / max(1, bad + good)
     phrases = seen.select("word", "bad", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase")).filter("phrase <> word")
-    phrases = phrases.groupBy("word", "phrase").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")).filter((F.col("good") >= support) & (F.col("bad") <= rate * (F.col("good") + F.col("bad")))).orderBy(F.desc("good"), "phrase").limit(max_words)
+    phrases = phrases.groupBy("word", "phrase").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")).filter((F.col("good") >= support) & (F.col("bad") <= rate * (F.col("good") + F.col("bad"))))
     lexicon = Lexicon(weights, {r["phrase"].strip() for r in phrases.collect() if r["word"] in weights})
     again = spark.sparkContext.broadcast(lexicon)
 
@@ -168,14 +180,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_words: i
             yield pa.RecordBatch.from_arrays([pa.array([again.value.strength(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "y"])
 
     points = map_arrow(known, feature, "x double, y int").toPandas()
-    known.unpersist()
     if len(points):
         lexicon.line = _line(points["x"].to_numpy(), (points["y"].to_numpy() > 0).astype(float))
     return lexicon
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with the column ``into``, 0 to 1. Null and empty texts score as texts in which nothing is found."""
+    """docs with the column ``into``, 0 to 1.
+
+    Null and empty texts score as texts in which nothing is found. A column of the name ``into`` is replaced, other columns and
+    repeated rows stay, an empty table gives an empty one. Texts are read whole; time is linear in their length but for a
+    logarithm of the number of exceptions met.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     docs = docs.drop(into)
     fields = [f.name for f in docs.schema.fields]
