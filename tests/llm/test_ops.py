@@ -227,8 +227,8 @@ def test_templates(spark):
     told = "so it was: Yesterday Bob Smith bought 40 apples for 9 kg of sugar. Then Bob Smith gave 7 apples to Cleo and kept the other ones. bye"
     docs = [(1, told), (2, told.replace("Then Bob Smith", "Then Ed Jones")), (3, None), (4, ""), (5, "z a b c d e f z"), (6, "1 2 3 4 5 6 7 8 9 10 11 12"), (5, "z a b c d e f z")]
     out = {(r.doc_id, r.item_id): r for r in decontaminate.find(spark.createDataFrame(docs, DOCS), items).collect()}
-    assert set(out) == {(1, 1), (5, 2)}
-    assert not out[1, 1].exact and out[5, 2].exact and out[5, 2].share == 1.0
+    assert set(out) == {(1, 1), (2, 1), (5, 2)}
+    assert not out[1, 1].exact and out[5, 2].exact and out[5, 2].share == 1.0 and out[2, 1].share < out[1, 1].share
     assert decontaminate.find(spark.createDataFrame(docs, DOCS), items.limit(0)).count() == 0
     assert decontaminate.find(spark.createDataFrame([], DOCS), items).count() == 0
 
