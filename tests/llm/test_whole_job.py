@@ -58,7 +58,7 @@ def test_secrets_without_a_digit(spark):
     others = ["a@b.example", "Mary Smith", "Mr. Jones", "10.0.0.1"]
     docs = spark.createDataFrame([(i, f"key {x} end") for i, x in enumerate(secrets + others)], DOCS)
     assert docs.filter(F.col("text").rlike(pii.PATTERN) & ~F.col("text").rlike(pii.HINT)).count() == 0
-    out = {r.doc_id: r for r in pii.replace(docs, count="n").collect()}
+    out = {r.doc_id: r for r in pii.replace(docs, key="k", count="n").collect()}
     for i, x in enumerate(secrets + others):
         assert out[i].n == 1 and x not in out[i].text, x
 
