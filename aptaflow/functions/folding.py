@@ -5,9 +5,11 @@ an array over the batch of sequences, so that the loops over places are shared b
 its outside counterpart come pair probabilities and, for each place, the chance to be unpaired in a hairpin, bulge, interior or
 multiple loop or outside all pairs.
 
-Energies are in 0.01 kcal/mol at 37 degrees (nearest-neighbour parameters of 1999). Dangling bases count on both sides of
-every branch (0: none). Small interior loops (1 x 1) follow a rule by closing pairs unless a table is given, as do 1 x 2 and
-2 x 2 loops, which take the general formula: an approximation, so energies of such loops differ from published tables.
+Energies are in 0.01 kcal/mol at 37 degrees (nearest-neighbour parameters of 1999). dangles: 0 none; 2 on both sides of every
+branch; 1 a base dangles on one branch at most, and only where that pays (least energy alone: the partition function takes 2
+instead). Interior loops of 1 x 1 bases have the published energies; those of 1 x 2 and 2 x 2 bases take the general formula,
+as their tables are not at hand: an approximation. Partition functions of long sequences are kept in extended precision, whose
+range of exponents a few ten thousand bases do not leave.
 """
 
 from __future__ import annotations
@@ -35,7 +37,13 @@ DANGLE_3 = "-110 -40 -130 -60  -170 -80 -170 -120  -70 -10 -70 -10  -80 -50 -80
 TETRALOOPS = "GGGGAC GGUGAC CGAAAG GGAGAC CGCAAG GGAAAC CGGAAG CUUCGG CGUGAG CGAAGG CUACGG GGCAAC CGCGAG UGAGAG CGAGAG AGAAAU CGUAAG CUAACG UGAAAG GGAAGC GGGAAC UGAAAA AGCAAU AGUAAU CGGGAG AGUGAU GGCGAC GGGAGC GUGAAC UGGAAA"
 TETRALOOP_BONUS = [-300] * 9 + [-250] * 5 + [-200] * 5 + [-150] * 11
 TERMINAL, CLOSING, BRANCH, LONGEST, MIN_HAIRPIN, NINIO, MAX_NINIO, EXTRAPOLATION, KT = 50, 340, 40, 30, 3, 50, 300, 107.856, 310.15 * 1.98717 / 10
-SMALL_LOOP, SMALL_LOOP_GG = (40, 110, 170), -140
+#: Interior loops of 1 x 1 bases by the number of pairs that end in A-U or G-U; with G opposite G.
+SMALL_LOOP, SMALL_LOOP_GG = (40, 110, 170), (-140, -100, -40)
+# Those that depart from it, (pair, reversed other pair, base, opposite base): energy.
+SMALL_LOOP_CG_GC = [40, -40, 40, 40, 30, 50, 40, 50, -10, 40, -170, 40, 40, 0, 40, -30]
+SMALL_LOOP_OTHERS = {("CG", "CG", "A", "A"): 110, ("GC", "GC", "A", "A"): 80, ("GC", "GC", "G", "G"): -210, ("GC", "GC", "U", "U"): -70, ("GC", "AU", "U", "U"): 100, ("AU", "AU", "U", "U"): 120, ("AU", "UA", "U", "U"): 150, ("UA", "UA", "U", "U"): 180}
+#: Sequences from this length on are summed in extended precision.
+LONG = 600
 
 
 def _numbers(text: str, *shape: int) -> np.ndarray:
@@ -58,6 +66,24 @@ for _t, _p in enumerate(PAIRS):
     _TYPE["ACGU".index(_p[0]), "ACGU".index(_p[1])] = _t
 
 
+def _small_loops() -> np.ndarray:
+    weak = (np.arange(6) > 1).astype(int)
+    kinds = weak[:, None] + weak[None]
+    out = np.array(SMALL_LOOP, np.float64)[kinds][:, :, None, None] + np.zeros((6, 6, 4, 4))
+    out[:, :, 2, 2] = np.array(SMALL_LOOP_GG)[kinds]
+    out[0, 1] = np.array(SMALL_LOOP_CG_GC).reshape(4, 4)
+    for (one, two, x, y), e in SMALL_LOOP_OTHERS.items():
+        out[PAIRS.index(one), PAIRS.index(two), "ACGU".index(x), "ACGU".index(y)] = e
+    # the loop read from its other end is the same loop
+    for i in range(6):
+        for j in range(i):
+            out[i, j] = out[j, i].T
+    return out
+
+
+_SMALL = _small_loops()
+
+
 def coded(sequences: list[str]) -> np.ndarray:
     """Places by batch, A C G U (T) as 0 to 3; other letters raise."""
     table = {c: i for i, c in enumerate("ACGU")} | {"T": 3}
@@ -100,25 +126,36 @@ class Energies:
             return _long(_BULGE, n) + (_STACK[t, back] if n == 1 else _END[t] + _END[back])
         x, y = self.c[i + 1], self.c[j - 1]
         if a == b == 1:
-            return np.array(SMALL_LOOP)[(t > 1).astype(int) + (back > 1).astype(int)] + SMALL_LOOP_GG * ((x == 2) & (y == 2))
+            return _SMALL[t, back, x, y]
         return _long(_INTERIOR, a + b) + min(MAX_NINIO, NINIO * abs(a - b)) + _MISMATCH_I[t, x, y] + _MISMATCH_I[back, self.c[q + 1], self.c[p - 1]]
 
     def _stem(self, t, left: int | None, right: int | None):
         e = _END[t]
-        if self.dangles and left is not None:
+        if left is not None:
             e = e + _D5[t, self.c[left]]
-        if self.dangles and right is not None:
+        if right is not None:
             e = e + _D3[t, self.c[right]]
         return e
 
-    def outer(self, i: int, j: int):
-        return self._stem(self.type(i, j), i - 1 if i else None, j + 1 if j + 1 < self.n else None)
+    def _sides(self, i: int, j: int) -> tuple[int | None, int | None]:
+        return (i - 1 if i and self.dangles == 2 else None, j + 1 if j + 1 < self.n and self.dangles == 2 else None)
+
+    def outer(self, i: int, j: int, left: bool = False, right: bool = False):
+        """A branch outside; left, right: the base beside it dangles though dangles is not 2."""
+        sides = self._sides(i, j)
+        return self._stem(self.type(i, j), i - 1 if left else sides[0], j + 1 if right else sides[1])
+
+    def branch(self, i: int, j: int, left: bool = False, right: bool = False):
+        return BRANCH + self.outer(i, j, left, right)
 
-    def branch(self, i: int, j: int):
-        return BRANCH + self.outer(i, j)
+    def closing(self, i: int, j: int, left: bool = False, right: bool = False):
+        """The pair that closes a multiple loop; left: the base before j dangles, right: the base after i."""
+        both = self.dangles == 2
+        return CLOSING + BRANCH + self._stem(_REVERSED[self.type(i, j)], j - 1 if both or left else None, i + 1 if both or right else None)
 
-    def closing(self, i: int, j: int):
-        return CLOSING + BRANCH + self._stem(_REVERSED[self.type(i, j)], j - 1, i + 1)
+
+#: Which of the bases beside a branch dangle, where they may: (left, right).
+WAYS = {0: [(0, 0)], 1: [(0, 0), (1, 0), (0, 1), (1, 1)], 2: [(0, 0)]}
 
 
 def _inner(i: int, j: int):
@@ -132,16 +169,30 @@ class Tables:
     """The inside recursion in one algebra."""
 
     def __init__(self, codes: np.ndarray, least: bool, dangles: int = 2):
+        self.dangles = dangles = dangles if least or dangles != 1 else 2
         e = self.e = Energies(codes, dangles)
         n, size = e.n, codes.shape[1]
         self.n, self.least = n, least
+        kind = np.longdouble if not least and n >= LONG else np.float64
         add, mul = (np.minimum, np.add) if least else (np.add, np.multiply)
-        none, one = (np.full(size, np.inf), np.zeros(size)) if least else (np.zeros(size), np.ones(size))
-        self.weight = w = (lambda x: x) if least else (lambda x: np.exp(-x / KT))
+        none, one = (np.full(size, np.inf), np.zeros(size)) if least else (np.zeros(size, kind), np.ones(size, kind))
+        self.weight = w = (lambda x: x) if least else (lambda x: np.exp(-np.asarray(x, kind) / KT))
         can = lambda i, j: e.type(i, j) >= 0
+        ways = WAYS[dangles]
         self.pair = pair = [[none] * (n + 1) for _ in range(n + 1)]
-        self.one = first = [[none] * (n + 1) for _ in range(n + 1)]  # one branch that starts at i
+        self.one = first = [[none] * (n + 1) for _ in range(n + 1)]  # one branch that starts at i, its dangling bases with it
         self.some = some = [[none] * (n + 1) for _ in range(n + 2)]  # one or more
+
+        def stems(i: int, j: int, energy):
+            """Branches that take all of i to j."""
+            x = none
+            for left, right in ways:
+                p, q = i + left, j - right
+                if q - p > MIN_HAIRPIN and (ok := can(p, q)).any():
+                    x = add(x, np.where(ok, mul(w(energy(p, q, bool(left), bool(right))), pair[p][q]), none))
+            return x
+
+        self.stems = stems
         for d in range(MIN_HAIRPIN + 1, n):
             for i in range(n - d):
                 j = i + d
@@ -152,12 +203,13 @@ class Tables:
                         if can(p, q).any():
                             x = add(x, mul(w(e.interior(i, j, p, q)), pair[p][q]))
                     if d > 2 * MIN_HAIRPIN + 4:
-                        split = none
-                        for m in range(i + MIN_HAIRPIN + 3, j - MIN_HAIRPIN - 1):
-                            split = add(split, mul(some[i + 1][m - 1], first[m][j - 1]))
-                        x = add(x, mul(w(e.closing(i, j)), split))
+                        for right, left in ways:  # the bases inside that dangle on the closing pair
+                            split = none
+                            for m in range(i + right + MIN_HAIRPIN + 3, j - left - MIN_HAIRPIN - 1):
+                                split = add(split, mul(some[i + 1 + right][m - 1], first[m][j - 1 - left]))
+                            x = add(x, mul(w(e.closing(i, j, bool(left), bool(right))), split))
                     pair[i][j] = np.where(ok, x, none)
-                first[i][j] = add(first[i][j - 1], np.where(ok, mul(w(e.branch(i, j)), pair[i][j]), none))
+                first[i][j] = add(first[i][j - 1], stems(i, j, e.branch))
                 x = none
                 for m in range(i, j - MIN_HAIRPIN):
                     x = add(x, mul(add(one, some[i][m - 1] if m > i else none), first[m][j]))
@@ -166,19 +218,19 @@ class Tables:
         for j in range(n):
             x = before[j]
             for i in range(j - MIN_HAIRPIN):
-                if can(i, j).any():
-                    x = add(x, np.where(can(i, j), mul(before[i], mul(w(e.outer(i, j)), pair[i][j])), none))
+                x = add(x, mul(before[i], stems(i, j, e.outer)))
             before[j + 1] = x
+        if least:
+            return
         self.after = after = [one] * (n + 2)  # the places from i on
         for i in range(n - 1, -1, -1):
             x = after[i + 1]
             for j in range(i + MIN_HAIRPIN + 1, n):
-                if can(i, j).any():
-                    x = add(x, np.where(can(i, j), mul(mul(w(e.outer(i, j)), pair[i][j]), after[j + 1]), none))
+                x = add(x, mul(stems(i, j, e.outer), after[j + 1]))
             after[i] = x
 
 
-def mfe(sequences: list[str], dangles: int = 2) -> list[tuple[str, float]]:
+def mfe(sequences: list[str], dangles: int = 1) -> list[tuple[str, float]]:
     """(dot-bracket, kcal/mol) of sequences of one length; up to three bases have no pairs."""
     n = len(sequences[0]) if sequences else 0
     if n <= MIN_HAIRPIN + 1:
@@ -193,6 +245,16 @@ def _trace(t: Tables, codes: np.ndarray, b: int, dangles: int) -> str:
     e, n = Energies(codes, dangles), t.n
     out = ["."] * n
     same = lambda x, y: abs(float(x) - float(y)) < 1e-6
+    ways = WAYS[dangles]
+
+    def stem(i: int, j: int, goal: float, energy) -> tuple[int, int] | None:
+        """The pair of a branch that takes all of i to j with an energy of goal."""
+        for left, right in ways:
+            p, q = i + left, j - right
+            if q - p > MIN_HAIRPIN and e.type(p, q) >= 0 and same(goal, energy(p, q, bool(left), bool(right)) + t.pair[p][q][b]):
+                return p, q
+        return None
+
     todo = [("outer", 0, n - 1)]
     while todo:
         kind, i, j = todo.pop()
@@ -201,8 +263,10 @@ def _trace(t: Tables, codes: np.ndarray, b: int, dangles: int) -> str:
                 j -= 1
             if j < 0:
                 continue
-            k = next(k for k in range(j - MIN_HAIRPIN) if e.type(k, j) >= 0 and same(t.before[j + 1][b], t.before[k][b] + e.outer(k, j) + t.pair[k][j][b]))
-            todo += [("outer", 0, k - 1), ("pair", k, j)]
+            for k in range(j - MIN_HAIRPIN):
+                if np.isfinite(t.before[k][b]) and (found := stem(k, j, t.before[j + 1][b] - t.before[k][b], e.outer)):
+                    todo += [("outer", 0, k - 1), ("pair", *found)]
+                    break
         elif kind == "some":
             goal = t.some[i][j][b]
             for m in range(i, j - MIN_HAIRPIN):
@@ -215,7 +279,7 @@ def _trace(t: Tables, codes: np.ndarray, b: int, dangles: int) -> str:
         elif kind == "one":
             while same(t.one[i][j][b], t.one[i][j - 1][b]):
                 j -= 1
-            todo.append(("pair", i, j))
+            todo.append(("pair", *stem(i, j, t.one[i][j][b], e.branch)))
         else:
             out[i], out[j] = "(", ")"
             goal = t.pair[i][j][b]
@@ -225,8 +289,9 @@ def _trace(t: Tables, codes: np.ndarray, b: int, dangles: int) -> str:
             if inner:
                 todo.append(("pair", *inner))
                 continue
-            m = next(m for m in range(i + MIN_HAIRPIN + 3, j - MIN_HAIRPIN - 1) if same(goal, e.closing(i, j) + t.some[i + 1][m - 1][b] + t.one[m][j - 1][b]))
-            todo += [("some", i + 1, m - 1), ("one", m, j - 1)]
+            splits = ((m, left, right) for right, left in ways for m in range(i + right + MIN_HAIRPIN + 3, j - left - MIN_HAIRPIN - 1))
+            m, left, right = next((m, left, right) for m, left, right in splits if same(goal, e.closing(i, j, bool(left), bool(right)) + t.some[i + 1 + right][m - 1][b] + t.one[m][j - 1 - left][b]))
+            todo += [("some", i + 1 + right, m - 1), ("one", m, j - 1 - left)]
     return "".join(out)
 
 
@@ -242,27 +307,27 @@ def probabilities(sequences: list[str], dangles: int = 2) -> tuple[np.ndarray, n
         return pairs, profile
     t = Tables(coded(sequences), False, dangles)
     e, z = t.e, t.before[n]
-    ratio = lambda a, b: np.divide(a, b, out=np.zeros(size), where=b > 0)
-    blank = np.zeros(size)
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros(size, np.result_type(a, b)), where=b > 0)
+    some = np.array([[x for x in row] for row in t.some[: n + 1]])  # place, place, batch
+    shut = np.zeros((n, n, size), some.dtype)  # what a closed multiple loop gives to its branches
+    # of the loops that (i, j) closes for all j beyond m: with branches between m and j, without
+    after = np.zeros((2, n, n, size), some.dtype)
     for d in range(n - 1, MIN_HAIRPIN, -1):
         for k in range(n - d):
             m = k + d
+            after[0, k, m] = (shut[k, m + 1 :] * some[m + 1, m : n - 1]).sum(axis=0)
+            after[1, k, m] = shut[k, m + 1 :].sum(axis=0)
             if not t.pair[k][m].any():
                 continue
             total = t.before[k] * t.weight(e.outer(k, m)) * t.after[m + 1] * t.pair[k][m] / z + pairs[:, k, m]
-            # a branch of a multiple loop closed by (i, j): with branches to its left, to its right or both
-            inside = t.weight(e.branch(k, m)) * t.pair[k][m]
-            for i in range(k):
-                for j in range(m + 1, n):
-                    if not pairs[:, i, j].any():
-                        continue
-                    left = t.some[i + 1][k - 1] if k - 1 > i else blank
-                    right = t.some[m + 1][j - 1] if j - 1 > m else blank
-                    rest = left + right + left * right
-                    if rest.any():
-                        total = total + ratio(pairs[:, i, j] * t.weight(e.closing(i, j)), t.pair[i][j]) * rest * inside
+            if k:
+                # a branch of a multiple loop closed by (i, j): with branches to its left, to its right or both
+                left = some[np.arange(1, k + 1), k - 1]
+                rest = (left * after[1, :k, m] + (1 + left) * after[0, :k, m]).sum(axis=0)
+                total = total + rest * t.weight(e.branch(k, m)) * t.pair[k][m]
             pairs[:, k, m] = total
             scale = ratio(total, t.pair[k][m])
+            shut[k, m] = scale * t.weight(e.closing(k, m))
             profile[:, 0, k + 1 : m] += (scale * t.weight(e.hairpin(k, m)))[:, None]
             for p, q in _inner(k, m):
                 if t.pair[p][q].any():

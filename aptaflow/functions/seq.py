@@ -137,6 +137,20 @@ def triangle_index(i: Column, j: Column, n: Column) -> Column:
     return (i * (2 * n - i - 1) / 2).cast("long") + j - i - 1
 
 
+def triangle_row(index: Column, n: Column) -> Column:
+    """The row i of a place of the upper triangle: the last one whose first place is not beyond it."""
+    # rounding may be one off where a row begins
+    guess = F.floor(((2 * n - 1) - F.sqrt(((2 * n - 1) * (2 * n - 1) - 8 * index).cast("double"))) / 2).cast("int")
+    low = F.greatest(guess - 1, F.lit(0))
+    return F.when(triangle_index(low + 2, low + 3, n) <= index, low + 2).when(triangle_index(low + 1, low + 2, n) <= index, low + 1).otherwise(low)
+
+
+def triangle_column(index: Column, n: Column) -> Column:
+    """The column j of a place of the upper triangle."""
+    i = triangle_row(index, n)
+    return (index - triangle_index(i, i + 1, n) + i + 1).cast("int")
+
+
 def project(region: Column, places: list[int]) -> Column:
     """The characters at some 0-based places: a locality-sensitive key."""
     return F.concat(*[F.substring(region, p + 1, 1) for p in places])

@@ -15,6 +15,7 @@ def visible(users: DataFrame, experiments: DataFrame, projects: DataFrame, grant
     by_project = projects.join(experiments, "project_id").select("user_id", "experiment_id", F.col("access_level").alias("project_level"))
     direct = grants.select("user_id", "experiment_id", F.col("access_level").alias("direct_level"))
     others = by_project.join(direct, ["user_id", "experiment_id"], "full").join(users.filter(~F.col("is_admin")), "user_id", "left_semi")
-    admins = F.broadcast(users.filter("is_admin").select("user_id"))
-    every = experiments.select("experiment_id").crossJoin(admins).select("user_id", "experiment_id", F.lit("MANAGER").alias("access_level"))
+    # by definition every admin with every experiment, so the result holds that many rows; they are dealt out by experiment
+    admins = users.filter("is_admin").groupBy(F.lit(1).alias("one")).agg(F.collect_set("user_id").alias("admins"))
+    every = experiments.withColumn("one", F.lit(1)).join(F.broadcast(admins), "one").select(F.explode("admins").alias("user_id"), "experiment_id", F.lit("MANAGER").alias("access_level"))
     return others.select("user_id", "experiment_id", F.coalesce("project_level", "direct_level").alias("access_level")).unionByName(every)

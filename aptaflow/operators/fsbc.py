@@ -25,12 +25,23 @@ def normalised(counts: DataFrame, rna: bool = False) -> DataFrame:
     return counts.withColumn("region", region).filter((F.col("count") > 0) & (F.length("region") > 0) & F.col("region").rlike("^[ACGU]+$" if rna else "^[ACGT]+$"))
 
 
-def support(counts: DataFrame, k: int) -> DataFrame:
-    """(subsequence, observed_count): reads that hold a k-mer, each sequence once."""
+#: Candidates up to which they are sent to all executors.
+BROADCAST_ROWS = 500_000
+
+
+def support(counts: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
+    """(subsequence, observed_count): reads that hold a k-mer, each sequence once; of candidates (subsequence) alone if given."""
     rows = counts.groupBy("region").agg(F.sum("count").alias("count")).select("count", F.explode(F.array_distinct(seq.kmers(F.col("region"), k))).alias("subsequence"))
+    if candidates is not None:
+        rows = rows.join(_sent(candidates.select("subsequence")), "subsequence", "left_semi")
     return rows.groupBy("subsequence").agg(F.sum("count").alias("observed_count"))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """df for a join, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def every_string(spark, alphabet: list[str], k: int) -> DataFrame:
     """All strings of a length (subsequence), in parallel."""
     n = len(alphabet)
@@ -83,15 +94,15 @@ def search(counts: DataFrame, min_length: int = 5, max_length: int = 10, rna: bo
     ratios, lengths, total = inputs(counts)
     candidates, levels = every_string(spark, alphabet, min_length), []
     for k in range(min_length, max_length + 1):
-        level = scored(candidates.select("subsequence"), support(counts, k), ratios, lengths, total)
+        level = scored(candidates.select("subsequence"), support(counts, k, candidates if levels else None), ratios, lengths, total)
         if levels:
-            level = level.join(F.broadcast(candidates), "subsequence").filter(F.col("z_score") > F.col("parent")).drop("parent")
+            level = level.join(_sent(candidates), "subsequence").filter(F.col("z_score") > F.col("parent")).drop("parent")
         level = cut(standardised(level.filter("z_score > 0")))
         if level.isEmpty():
             break
         levels.append(level)
         longer = level.select("subsequence", F.col("z_score").alias("parent"), F.explode(F.array(*[F.lit(x) for x in alphabet])).alias("base"))
-        candidates = longer.select(F.concat("subsequence", "base").alias("subsequence"), "parent")
+        candidates = cut(longer.select(F.concat("subsequence", "base").alias("subsequence"), "parent"))
     out = levels[0] if levels else cut(standardised(scored(candidates.limit(0).select("subsequence"), support(counts, min_length), ratios, lengths, total)))
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -132,6 +143,6 @@ def clusters(counts: DataFrame, candidates: DataFrame, key: str = "sequence") ->
     given = cut(assign(counts, candidates, key))
     stats = given.groupBy("seed_rank").agg(F.count("*").alias("member_count"), F.sum("count").alias("total_count"))
     stats = stats.withColumn("cluster_id", F.row_number().over(Window.orderBy("seed_rank")) - 1)  # one row per seed
-    out = given.join(F.broadcast(stats.select("seed_rank", "cluster_id")), "seed_rank").select(key, "cluster_id")
+    out = given.join(_sent(stats.select("seed_rank", "cluster_id")), "seed_rank").select(key, "cluster_id")
     named = stats.join(candidates.select(F.col("rank").alias("seed_rank"), F.col("subsequence").alias("seed_string")), "seed_rank")
     return out, named.select("cluster_id", "seed_string", "member_count", "total_count")

@@ -19,9 +19,18 @@ def quality(accepted: DataFrame, column: str = "fwd_qual") -> DataFrame:
     return q.groupBy("cycle_name", "position").agg(F.avg("q").alias("mean"), F.var_samp("q").alias("variance"), F.stddev_samp("q").alias("stddev"), F.count("*").alias("count"))
 
 
-def bases(accepted: DataFrame, column: str = "fwd") -> DataFrame:
-    """Reads by cycle, position and base."""
-    return _letters(accepted, column, ["cycle_name"], "base").groupBy("cycle_name", "position", "base").agg(F.count("*").alias("count"))
+def bases(accepted: DataFrame, column: str = "fwd", seeded: bool = False) -> DataFrame:
+    """Reads by cycle, position and base. seeded: A, C, G, T and N have rows of 0 where they do not occur."""
+    out = _letters(accepted, column, ["cycle_name"], "base").groupBy("cycle_name", "position", "base").agg(F.count("*").alias("count"))
+    if not seeded:
+        return out
+    every = out.select("cycle_name", "position", F.explode(F.array(*[F.lit(x) for x in "ACGTN"])).alias("base"), F.lit(0).cast("long").alias("count"))
+    return out.unionByName(every).groupBy("cycle_name", "position", "base").agg(F.sum("count").alias("count"))
+
+
+def transcribed(reads: DataFrame) -> DataFrame:
+    """reads with the reverse reads as they stand on the forward strand: rev as its reverse complement, rev_qual reversed."""
+    return reads.withColumns({"rev": seq.reverse_complement(F.col("rev")), "rev_qual": F.reverse("rev_qual")})
 
 
 def region_bases(counts: DataFrame) -> DataFrame:

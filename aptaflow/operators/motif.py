@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
@@ -37,11 +37,11 @@ def windows(regions: DataFrame, k: int) -> DataFrame:
     The context of a window is the sum over its last k - 1 places divided by k, for each of five contexts.
     """
     n = F.length("region")
-    value = lambda c, s: F.aggregate(F.slice("profile", n * c + s + 1, F.lit(k - 1)), F.lit(0.0), lambda a, x: a + x) / k
-    every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.struct(F.substring("region", s, F.lit(k)).alias("kmer"), s.alias("position"), F.array(*[value(c, s) for c in _CTX]).alias("ctx")))
     ok = F.assert_true(F.size("profile") == 5 * n, F.lit("a profile needs five values for each place"))
-    rows = regions.filter(n >= k).filter(ok.isNull())
-    return rows.select("region", F.explode(every).alias("w")).select("region", (F.col("w.position") - 1).alias("position"), "w.kmer", "w.ctx")
+    rows = regions.filter(n >= k).filter(ok.isNull()).withColumn("position", F.explode(F.sequence(F.lit(0), n - k)))
+    # plain sums of k - 1 values, which are compiled; functions over arrays are not
+    value = lambda c: sum((F.get("profile", n * c + F.col("position") + j) for j in range(1, k)), F.lit(0.0)) / k
+    return rows.select("region", "position", F.substring("region", F.col("position") + 1, F.lit(k)).alias("kmer"), F.array(*[value(c) for c in _CTX]).alias("ctx"))
 
 
 def round_totals(counts: DataFrame, k: int) -> DataFrame:
@@ -119,24 +119,34 @@ def scores(traced: DataFrame, rounds: int, last_reads: int) -> DataFrame:
     return cut(enough.select("kmer", share.alias("proportion"), (F.col("total")[rounds - 1] >= STRONG * last_reads).alias("strong"), _divergence("p", "n", rounds).alias("kl"), _divergence("q", "s", rounds).alias("kl_singleton"), selection_context("p", rounds).cast("int").alias("selection_context")))
 
 
+def background(scored: DataFrame) -> DataFrame:
+    """One row over the k-mers with scores of both kinds: mean and sample deviation (0 for one) of the log of rare aptamers'
+    scores, their number, and the cuts of log scores and proportions below which the lowest 90 % lie."""
+    rows = scored.filter((F.col("kl") >= LOW_SCORE) & (F.col("kl_singleton") >= LOW_SCORE)).select(F.log("kl").alias("log"), F.log("kl_singleton").alias("rare"), "proportion")
+    # there are 4^k rows at most
+    figures = rows.agg(F.avg("rare").alias("mean"), F.coalesce(F.stddev_samp("rare"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"), F.sort_array(F.collect_list("log")).alias("logs"), F.sort_array(F.collect_list("proportion")).alias("shares"))
+    at = F.greatest(F.lit(0), F.least(F.floor(F.lit((100.0 - THETA) / 100.0) * F.col("n")), F.col("n") - 1)).cast("int")
+    return figures.select("mean", "sd", "n", F.get("logs", at).alias("top_score"), F.get("shares", at).alias("top_proportion"))
+
+
+def with_p_values(scored: DataFrame) -> DataFrame:
+    """scored with log and p_value, and the cuts of background()."""
+    rows = scored.crossJoin(F.broadcast(background(scored)).filter("n > 0"))  # one row
+    log = F.when(F.col("kl") > 0, F.log("kl")).otherwise(float("-inf"))
+    above = F.col("log") - F.col("mean")
+    # without a deviation whatever lies above the mean is beyond all chance
+    z = F.when(F.col("sd") > 0, above / F.col("sd")).otherwise(F.when(above > 0, float("inf")).otherwise(0.0))
+    return rows.withColumn("log", log).withColumn("z", z).withColumn("p_value", F.when(F.col("z") > 38, 0.0).otherwise(seq.tail_p_value(F.col("z")))).drop("z", "mean", "sd", "n")
+
+
 def significant(scored: DataFrame) -> list[dict]:
-    """The significant k-mers with their p-values by rising proportion, then k-mer. scored has at most 4^k rows."""
-    rows = [r.asDict() for r in scored.collect()]
-    null = [r for r in rows if r["kl"] >= LOW_SCORE and r["kl_singleton"] >= LOW_SCORE]
-    if not null:
-        return []
-    background = np.log([r["kl_singleton"] for r in null])
-    mean, sd = background.mean(), background.std(ddof=1) if len(background) > 1 else 0.0
-    at = min(max(0, math.floor((100.0 - THETA) / 100.0 * len(null))), len(null) - 1)
-    top_score, top_share = sorted(math.log(r["kl"]) for r in null)[at], sorted(r["proportion"] for r in null)[at]
-    for r in rows:
-        r["log"] = math.log(r["kl"]) if r["kl"] > 0 else -math.inf
-        z = (r["log"] - mean) / sd if sd else math.copysign(math.inf, r["log"] - mean) if r["log"] != mean else math.nan
-        z = float(z)
-        r["p_value"] = 1.0 if not z > 0 else 0.0 if z > 38 else 1 / (z * math.sqrt(2 * math.pi) * math.exp(z * z / 2))
-    level = 0.01 if any(r["p_value"] <= 0.01 and r["log"] >= top_score for r in rows) else 0.05
-    keep = [r for r in rows if r["p_value"] <= level and (r["log"] >= top_score or (r["proportion"] >= top_share and r["log"] >= -3.0 and r["strong"]))]
-    return sorted(keep, key=lambda r: (r["proportion"], r["kmer"]))
+    """The significant k-mers with their p-values by rising proportion, then k-mer."""
+    rows = with_p_values(scored)
+    strict = rows.filter((F.col("p_value") <= 0.01) & (F.col("log") >= F.col("top_score"))).isEmpty()
+    level = 0.05 if strict else 0.01
+    often = (F.col("proportion") >= F.col("top_proportion")) & (F.col("log") >= -3.0) & F.col("strong")
+    keep = rows.filter((F.col("p_value") <= level) & ((F.col("log") >= F.col("top_score")) | often))
+    return [r.asDict() for r in keep.orderBy("proportion", "kmer").collect()]
 
 
 def _shifts(a: str, b: str, most: int | None = None):
@@ -237,7 +247,8 @@ def motifs(counts: DataFrame, regions: DataFrame, config: Config = Config()) ->
     if not clusters:
         return spark.createDataFrame([], schema)
     table = F.broadcast(spark.createDataFrame([(c["motif"], x, a) for c in clusters for x, a in c["alignments"].items()], "motif int, kmer string, alignment string"))
-    hits = windows(regions, config.k).join(table, "kmer").join(counts.select("region", "sequence", "start_index", "round", "count"), "region").persist()
+    hits = windows(regions, config.k).join(table, "kmer").join(counts.select("region", "sequence", "start_index", "round", "count"), "region")
+    hits = cut(hits)  # read by each step below
     rare = F.col("count") <= config.alpha
     now = hits.filter(F.col("round") == last).withColumn("rare", rare).withColumn("filled", filled(F.col("alignment"), F.col("sequence"), F.col("start_index") + F.col("position")))
     weights: dict[tuple[int, bool], dict[tuple[int, str], float]] = {}
@@ -272,7 +283,6 @@ def motifs(counts: DataFrame, regions: DataFrame, config: Config = Config()) ->
         rows = np.divide(rows, rows.sum(axis=1, keepdims=True), out=rows, where=rows.sum(axis=1, keepdims=True) > 0)
         rows = trimmed(rows)
         out.append((c["seed"], consensus(rows), c["p_value"], c["proportion"], total.get((m, last), 0) / reads[last], c["selection_context"], c["kmers"], c["alignments"], n_own.get(m, 0), rows.tolist(), trace))
-    hits.unpersist()
     return spark.createDataFrame(out, schema)
 
 
@@ -299,6 +309,23 @@ def _covered(own: DataFrame, n: int) -> set[int]:
 
 
 def members(hits: DataFrame, last_reads: int) -> DataFrame:
-    """(motif, sequence, last_round_count, last_round_proportion), each aptamer of the last round once for a motif."""
+    """(motif, place, sequence, last_round_count, last_round_proportion), each aptamer of the last round once for a motif; place
+    counts from 1 by falling count, then sequence."""
     rows = hits.select("motif", "sequence", "count").distinct()
-    return rows.select("motif", "sequence", F.col("count").alias("last_round_count"), (F.col("count") / F.lit(float(last_reads))).alias("last_round_proportion"))
+    place = F.row_number().over(Window.partitionBy("motif").orderBy(F.desc("count"), "sequence"))
+    return rows.select("motif", place.alias("place"), "sequence", F.col("count").alias("last_round_count"), (F.col("count") / F.lit(float(last_reads))).alias("last_round_proportion"))
+
+
+def overlaps(own: DataFrame) -> DataFrame:
+    """(motif, earlier, share): the share of a motif's reads that belong to aptamers of an earlier motif. own: motif, sequence,
+    count. Motifs without common aptamers have no row."""
+    totals = own.groupBy("motif").agg(F.sum("count").alias("total"))
+    both = own.join(own.select("sequence", F.col("motif").alias("earlier")), "sequence").filter("earlier < motif")
+    return both.groupBy("motif", "earlier").agg(F.sum("count").alias("held")).join(totals, "motif").select("motif", "earlier", (F.col("held") / F.col("total")).alias("share"))
+
+
+def with_profiles(regions: DataFrame, structures: DataFrame) -> DataFrame:
+    """regions (region, ...) with their profile; a region without one, or with one of another size, is an error."""
+    rows = regions.join(structures.select("region", "profile"), "region", "left")
+    good = F.coalesce(F.size("profile") == 5 * F.length("region"), F.lit(False))
+    return rows.filter(F.assert_true(good, F.lit("a region needs a profile of five values for each place")).isNull())

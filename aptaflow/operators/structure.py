@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import folding
 from ..ship import ship
 
-#: Sequences folded together; each cell of the tables holds so many numbers.
-BATCH = 512
+#: Sequences folded together at most, and numbers in one of their tables; each cell of a table holds one for each sequence.
+BATCH, NUMBERS = 512, 1 << 22
 
 
 def _by_length(df: DataFrame, column: str, run: Callable[[list[str]], list[tuple]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """run over batches of distinct sequences of one length, which sorting by length brings together."""
+    """run over batches of distinct sequences of one length, which sorting by length brings together.
+
+    Sequences with other letters than A, C, G, T and U have no structure here and give no row, nor do null and empty ones.
+    """
     ship(df.sparkSession)
     rows = df.select(F.col(column).alias("sequence")).filter(F.col(column).rlike("^[ACGTUacgtu]+$")).distinct()
 
@@ -26,16 +29,17 @@ def _by_length(df: DataFrame, column: str, run: Callable[[list[str]], list[tuple
             for s in b.column(0).to_pylist():
                 groups.setdefault(len(s), []).append(s)
             for same in groups.values():
-                for k in range(0, len(same), BATCH):
-                    some = same[k : k + BATCH]
+                step = max(1, min(BATCH, NUMBERS // len(same[0]) ** 2))
+                for k in range(0, len(same), step):
+                    some = same[k : k + step]
                     made = run(some)
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *[pa.array([x[i] for x in made], t) for i, t in enumerate(kinds.values())]], names=["sequence", *kinds])
 
     return rows.repartition("sequence").sortWithinPartitions(F.length("sequence")).mapInArrow(each, f"sequence string, {schema}")
 
 
-def mfe(df: DataFrame, column: str = "sequence", dangles: int = 2) -> DataFrame:
-    """sequence, structure, mfe."""
+def mfe(df: DataFrame, column: str = "sequence", dangles: int = 1) -> DataFrame:
+    """sequence, structure, mfe. dangles: see functions.folding."""
     return _by_length(df, column, lambda s: folding.mfe(s, dangles), {"structure": pa.string(), "mfe": pa.float64()}, "structure string, mfe double")
 
 

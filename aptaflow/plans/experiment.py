@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..operators import importer, pool
-from ..store import cut
+from ..store import memo
 
 P5, P3 = "GATACGCATT", "CTTGACCAGT"
 MOTIF = "TTGGAACC"
@@ -25,7 +25,11 @@ def sequence_of(key) -> F.Column:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_partkey, l_orderkey, cycle_name, round, region, fwd, fwd_qual."""
+    """l_partkey, l_orderkey, cycle_name, round, region, fwd, fwd_qual: a table of its own, made once in an application."""
+    return memo(spark, ("reads", sf_dir), lambda: _reads(spark, sf_dir))
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", F.year("l_shipdate").alias("cyc"))
     whole = sequence_of(F.col("l_partkey"))
     items = items.withColumns({"whole": whole, "cycle_name": F.col("cyc").cast("string"), "round": (F.col("cyc") - FIRST_YEAR).cast("int")})
@@ -41,9 +45,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     m = F.md5(F.col("l_orderkey").cast("string").cast("binary"))
     out = items.withColumn("region", region).withColumn("fwd", fwd)
-    out = out.withColumn("fwd_qual", F.substring(F.concat(m, m), F.lit(1), F.length("fwd"))).select("l_partkey", "l_orderkey", "cycle_name", "round", "region", "fwd", "fwd_qual")
-    # written, as reads are a table of their own; else every filter on an outcome would take in how a read is made up
-    return cut(out)
+    return out.withColumn("fwd_qual", F.substring(F.concat(m, m), F.lit(1), F.length("fwd"))).select("l_partkey", "l_orderkey", "cycle_name", "round", "region", "fwd", "fwd_qual")
 
 
 def parsed(spark: SparkSession, sf_dir: str, config: importer.Config = CONFIG) -> DataFrame:
@@ -55,13 +57,18 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aptamers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.aptamers(accepted(spark, sf_dir))
+    return memo(spark, ("aptamers", sf_dir), lambda: pool.aptamers(accepted(spark, sf_dir)))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cycle_name, round, sequence, start_index, end_index, region, count."""
-    c = pool.sequence_counts(accepted(spark, sf_dir))
-    return c.withColumn("region", F.expr("substring(sequence, start_index + 1, end_index - start_index)"))
+    """cycle_name, round, sequence, start_index, end_index, region, count, made once in an application."""
+    region = F.expr("substring(sequence, start_index + 1, end_index - start_index)")
+    return memo(spark, ("counts", sf_dir), lambda: pool.sequence_counts(accepted(spark, sf_dir)).withColumn("region", region))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct regions with their profiles."""
+    return memo(spark, ("regions", sf_dir), lambda: structures(counts(spark, sf_dir).select("region").distinct()))
 
 
 def structures(distinct_regions: DataFrame) -> DataFrame:

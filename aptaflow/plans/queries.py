@@ -110,14 +110,16 @@ _CODES = ["ACACAC", "CAGTCA", "GTTGAC", "TGACTG", "AACCGG"]
 
 @query(
     X.twin(
-        "SELECT outcome, barcode, count(*) AS n FROM (SELECT CASE WHEN c IS NULL THEN 'INVALID_CYCLE' ELSE 'ACCEPTED_READS' END AS outcome, c AS barcode FROM (SELECT list_position(['ACACAC', 'CAGTCA', 'GTTGAC', 'TGACTG', 'AACCGG'], code)::INT - 1 AS c FROM coded)) GROUP BY ALL",
-        "coded AS (SELECT CASE round WHEN 0 THEN 'ACACAC' WHEN 1 THEN 'CAGTCA' WHEN 2 THEN 'GTTGAC' WHEN 3 THEN 'TGACTG' WHEN 4 THEN 'AACCGG' ELSE 'TTTTTT' END AS code FROM accepted)",
+        f"""SELECT CASE WHEN NOT fwd SIMILAR TO '[ACGT]*' THEN 'INVALID_ALPHABET' WHEN p5 < 0 THEN 'FIVE_PRIME_ERROR' WHEN p3 < 0 THEN 'THREE_PRIME_ERROR' WHEN barcode IS NULL THEN 'INVALID_CYCLE' WHEN p3 - p5 - 10 = 20 THEN 'ACCEPTED_READS' ELSE 'SIZE_MISMATCH' END AS outcome,
+           barcode, count(*) AS n FROM (SELECT *, list_min([k - 1 FOR k IN range(1, 6) IF p5 > 0 AND instr(substr(fwd, 1, p5), ({_CODES})[k]) > 0])::INT AS barcode FROM coded) GROUP BY ALL""",
+        "written AS (SELECT CASE round WHEN 0 THEN 'ACACAC' WHEN 1 THEN 'CAGTCA' WHEN 2 THEN 'GTTGAC' WHEN 3 THEN 'TGACTG' WHEN 4 THEN 'AACCGG' ELSE 'TTTTTT' END || fwd AS fwd FROM reads)",
+        "coded AS (SELECT fwd, instr(fwd, 'GATACGCATT') - 1 AS p5, CASE WHEN instr(fwd, 'CTTGACCAGT') > 0 THEN length(fwd) - instr(reverse(fwd), reverse('CTTGACCAGT')) + 1 - 10 ELSE -1 END AS p3 FROM written)",
     )
 )
 def barcode_cycle_exact(spark: SparkSession, d: str) -> DataFrame:
     """Reads with a barcode before the 5' primer, dealt to rounds by it."""
     code = F.coalesce(F.get(F.array(*[F.lit(c) for c in _CODES]), F.col("round")), F.lit("TTTTTT"))
-    reads = X.reads(spark, d).filter("l_orderkey % 10 >= 5").withColumn("fwd", F.concat(code, F.col("fwd")))
+    reads = X.reads(spark, d).withColumn("fwd", F.concat(code, F.col("fwd")))
     config = importer.Config(X.P5, X.P3, X.SIZE, primer_tolerance=0, barcode_tolerance=0, barcodes5=tuple(_CODES))
     return importer.parse_exact(reads, config).groupBy("outcome", "barcode").agg(F.count("*").alias("n"))
 
@@ -140,23 +142,6 @@ def hamming_primer_search(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("hit", hit).filter("hit is not null").select("p_partkey", F.col("hit.errors").cast("int").alias("errors"), F.col("hit.index").cast("int").alias("index"))
 
 
-@query()
-def fuzzy_import(spark: SparkSession, d: str) -> DataFrame:
-    """Reads by outcome with three errors allowed in each primer and a retry on the reverse complement."""
-    config = importer.Config(X.P5, X.P3, lower=15, upper=25, primer_tolerance=3, retry_reverse_complement=True)
-    return importer.parse_fuzzy(X.reads(spark, d), config).groupBy("outcome", "start_index", "end_index").agg(F.count("*").alias("n"))
-
-
-@query()
-def paired_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted reads cut into overlapping pairs, merged again, by outcome."""
-    rows = X.reads(spark, d).filter("l_orderkey % 10 >= 5")
-    back = seq.reverse_complement(F.substring("fwd", 11, 30))
-    pairs = rows.select("fwd", F.substring("fwd", 1, 30).alias("f"), F.substring("fwd_qual", 1, 30).alias("fwd_qual"), back.alias("rev"), F.reverse(F.substring("fwd_qual", 11, 30)).alias("rev_qual"))
-    merged = importer.merge_pairs(pairs.withColumnRenamed("fwd", "whole").withColumnRenamed("f", "fwd"))
-    return importer.parse_exact(merged, X.CONFIG, "contig").groupBy("outcome", (F.col("contig") == F.col("whole")).alias("same")).agg(F.count("*").alias("n"))
-
-
 @query(X.twin("SELECT l_orderkey % 10 AS kind, bool_and(fwd = translate(reverse(translate(reverse(fwd), 'ACGT', 'TGCA')), 'ACGT', 'TGCA')) AS involution, min(translate(reverse(fwd), 'ACGT', 'TGCA')) AS least FROM reads GROUP BY 1"))
 def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
     rows = X.reads(spark, d)
@@ -341,12 +326,6 @@ def fsbc_assignments(spark: SparkSession, d: str) -> DataFrame:
     return fsbc.clusters(*_level(spark, d))[0]
 
 
-@query()
-def fsbc_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """The whole search over lengths 5 to 10."""
-    return fsbc.search(_last_round(spark, d)).select("rank", "subsequence", "length", "observed_count", r6("expected_fraction", "expected_fraction"), r6("z_score", "z_score"), r6("normalized_z_score", "normalized_z_score"))
-
-
 # --- hashing ----------------------------------------------------------------------------------------------------------
 
 _PLACES = lsh.sampled_places(X.SIZE, 7, 3, 7)
@@ -399,12 +378,6 @@ def cluster_renumber(spark: SparkSession, d: str) -> DataFrame:
     return lsh.renumbered(_start(spark, d)).select("sequence", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
-@query()
-def lsh_cluster_full(spark: SparkSession, d: str) -> DataFrame:
-    config = lsh.Config(region_size=X.SIZE, dimension=7, iterations=3, cutoff=0.02)
-    return lsh.cluster(X.counts(spark, d), config)
-
-
 # --- motifs -----------------------------------------------------------------------------------------------------------
 
 _CTX = "hbimd"
@@ -413,7 +386,7 @@ _K, _ALPHA = 3, 2
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
-    return cut(X.structures(X.counts(spark, d).select("region").distinct()))
+    return X.regions(spark, d)
 
 
 @query(X.twin("SELECT kmer, round, sum(count)::BIGINT AS total FROM (SELECT DISTINCT sequence, round, count, substr(region, i::INT, 6) AS kmer FROM counts, range(1, 16) r(i)) GROUP BY ALL"))
@@ -486,12 +459,6 @@ def theta_cut(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(r6(F.max(F.when(F.col("a") == at, F.col("s"))), "top_score"), r6(F.max(F.when(F.col("b") == at, F.col("proportion"))), "top_proportion"), F.max("n").alias("n"))
 
 
-@query()
-def significant_kmers(spark: SparkSession, d: str) -> DataFrame:
-    rows = motif.significant(_traced(spark, d)[0])
-    return spark.createDataFrame([(r["kmer"], round(r["proportion"], 6), round(r["p_value"], 6), r["selection_context"]) for r in rows], "kmer string, proportion double, p_value double, selection_context int")
-
-
 _HIT = f"hits AS (SELECT 0 AS motif, sequence, count, count <= {_ALPHA} AS rare, substr(sequence, 10 + s::INT - 1, 8) AS filled FROM counts, range(1, 16) r(s) WHERE round = 6 AND substr(region, s::INT, 6) = 'TTGGAA')"
 
 
@@ -507,23 +474,15 @@ def pwm(spark: SparkSession, d: str) -> DataFrame:
     return motif.pwm(_hits(spark, d))
 
 
-@query(X.twin("SELECT string_agg(base, '' ORDER BY i) AS consensus FROM (SELECT i, arg_max(base, w * 10 - instr('ACGT', base)) AS base FROM (SELECT i, substr(filled, i::INT, 1) AS base, sum(count) AS w FROM hits, range(1, 9) r(i) GROUP BY ALL) GROUP BY i)", _HIT))
-def consensus(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent bases around the planted motif."""
-    w = motif.pwm(_hits(spark, d)).groupBy("position", "base").agg(F.sum("weight").alias("w"))
-    best = w.groupBy("position").agg(F.max_by("base", F.struct("w", (-F.instr(F.lit("ACGT"), F.col("base"))).alias("i"))).alias("base"))
-    return best.agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("position", "base"))), lambda x: x["base"])).alias("consensus"))
-
-
 @query(X.twin("SELECT motif, count(DISTINCT sequence) AS n_aptamers, sum(count)::BIGINT AS total FROM (SELECT DISTINCT motif, sequence, count FROM hits WHERE NOT rare) GROUP BY 1", _HIT))
 def motif_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).filter("not rare").select("motif", "sequence", "count").distinct().groupBy("motif").agg(F.countDistinct("sequence").alias("n_aptamers"), F.sum("count").alias("total"))
 
 
-@query(X.twin("SELECT DISTINCT motif, sequence, count AS last_round_count, round(count / (SELECT sum(count) FROM counts WHERE round = 6), 6) AS last_round_proportion FROM hits", _HIT))
+@query(X.twin("SELECT motif, row_number() OVER (PARTITION BY motif ORDER BY count DESC, sequence)::INT AS place, sequence, count AS last_round_count, round(count / (SELECT sum(count) FROM counts WHERE round = 6), 6) AS last_round_proportion FROM (SELECT DISTINCT motif, sequence, count FROM hits)", _HIT))
 def motif_members(spark: SparkSession, d: str) -> DataFrame:
     last = _last_round(spark, d).agg(F.sum("count")).first()[0]
-    return motif.members(_hits(spark, d), last).select("motif", "sequence", "last_round_count", r6("last_round_proportion", "last_round_proportion"))
+    return motif.members(_hits(spark, d), last).select("motif", "place", "sequence", "last_round_count", r6("last_round_proportion", "last_round_proportion"))
 
 
 @query()
@@ -541,7 +500,7 @@ def paired_probability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _distinct_regions(spark: SparkSession, d: str) -> DataFrame:
-    return cut(X.accepted(spark, d).select("region").distinct())
+    return X.counts(spark, d).select("region").distinct()
 
 
 @query()
@@ -574,8 +533,8 @@ def triu_index(spark: SparkSession, d: str) -> DataFrame:
     """
 WITH users AS (SELECT c_custkey AS user_id, c_custkey % 400 = 7 AS is_admin FROM customer),
 exps AS (SELECT s_suppkey AS experiment_id, s_nationkey AS project_id FROM supplier),
-proj AS (SELECT c_custkey AS user_id, c_nationkey AS project_id, CASE WHEN c_custkey % 3 = 0 THEN 'EDITOR' ELSE 'VIEWER' END AS access_level FROM customer WHERE c_custkey % 4 = 0),
-grants AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey % 100 + 1 AS experiment_id, 'GRANTED' AS access_level FROM orders WHERE o_orderkey % 5 = 0),
+proj AS (SELECT c_custkey AS user_id, c_nationkey AS project_id, CASE WHEN c_custkey % 3 = 0 THEN 'EDITOR' ELSE 'VIEWER' END AS access_level FROM customer),
+grants AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey % 100 + 1 AS experiment_id, 'GRANTED' AS access_level FROM orders),
 bp AS (SELECT user_id, experiment_id, access_level AS pl FROM proj JOIN exps USING (project_id)),
 al AS (SELECT user_id, experiment_id, coalesce(pl, access_level) AS access_level FROM bp FULL JOIN grants USING (user_id, experiment_id))
 SELECT al.* FROM al JOIN users USING (user_id) WHERE NOT is_admin
@@ -586,6 +545,9 @@ def visible_experiments(spark: SparkSession, d: str) -> DataFrame:
     customer = spark.read.parquet(f"{d}/customer.parquet")
     users = customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 400 == 7).alias("is_admin"))
     exps = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("experiment_id"), F.col("s_nationkey").alias("project_id"))
-    proj = customer.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("project_id"), F.when(F.col("c_custkey") % 3 == 0, "EDITOR").otherwise("VIEWER").alias("access_level"))
-    grants = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 100 + 1).alias("experiment_id"), F.lit("GRANTED").alias("access_level")).distinct()
+    proj = customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("project_id"), F.when(F.col("c_custkey") % 3 == 0, "EDITOR").otherwise("VIEWER").alias("access_level"))
+    grants = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 100 + 1).alias("experiment_id"), F.lit("GRANTED").alias("access_level")).distinct()
     return catalog.visible(users, exps, proj, grants)
+
+
+from . import analyses  # noqa: E402, F401  its queries join these

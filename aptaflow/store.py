@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the application ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/aptaflow-{context.applicationId}"
+    if path not in context.__dict__.setdefault("_aptaflow_folders", set()):
+        context._aptaflow_folders.add(path)
+        there = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = there.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(there)
+        files.deleteOnExit(there)
+    return path
+
+
+def _written(df: DataFrame) -> str:
+    path = f"{_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again; it ends the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
+
+
+def memo(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """make() written the first time that a key is asked for in an application, and read from then on."""
+    kept = spark.sparkContext.__dict__.setdefault("_aptaflow_tables", {})
+    if key not in kept:
+        df = make()
+        kept[key] = _written(df), df.schema
+    path, schema = kept[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_overlap_predicate(spark):
 
 @pytest.mark.parametrize(("a", "b", "want"), [("ACGTACGT", "ACGTTCGT", 1 / 6), ("ACGTACGT", "ACGTACGA", 0.0), ("AAAAAAAA", "AAAAAAAA", 2.0)])
 def test_kmer_distance(spark, a, b, want):
-    assert lsh.kmer_distance(a, b, 3) == pytest.approx(want)
+    assert lsh.distances(*lsh.kmer_frequencies([a, b], 3)) == pytest.approx(want)
     row = spark.createDataFrame([(a, b)], "a string, b string").select(seq.kmer_distance(F.col("a"), F.col("b"), 3).alias("d")).first()
     assert row.d == pytest.approx(want)
 
