@@ -36,6 +36,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, per: int = 64 << 20) -> int:
+    """How many parts to deal df to: twice the shuffle partitions, and more where these would hold over ``per`` bytes of it, by
+    the planner's figure (a source that does not know its size has none)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * partitions(df.sparkSession), -(-size // per) if size < 1 << 60 else 0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with this package on the executors."""
     ship(df.sparkSession)

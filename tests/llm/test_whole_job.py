@@ -34,8 +34,8 @@ def test_fragments_do_not_hide_a_verbatim_passage(spark):
 
 
 def test_a_window_joins_the_seeds_in_it():
-    m = np.array([(2, 1, 0, 10, 100), (2, 1, 20, 30, 0), (2, 1, 60, 70, 90)], substring.MATCH)
-    assert list(substring._runs(m, 6)) == [(2, 1, [(0, 10, 150)])]
+    m = np.array([(2, 1, 0, 10, 100), (2, 1, 20, 30, 6), (2, 1, 60, 70, 90)], substring.MATCH)
+    assert list(substring._runs(m)) == [(2, 1, [(0, 10, 150)])]
     w = np.array([(2, 1, i, i + 10, 50) for i in range(5)], substring.MATCH)
     assert substring.merged(w).tolist() == [(2, 1, 0, 10, 54)]
 
