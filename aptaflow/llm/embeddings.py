@@ -5,9 +5,10 @@ x.y differs from q_x.q_y by at most |x - q_x| |y| + |q_x| |y - q_y|; the lengths
 Tiles of vectors are multiplied as int8 values held in float32, where the products of up to 1024 components are exact integers.
 Pairs whose bound lies on one side of the threshold are settled by it; the others are recomputed in double precision.
 
-Equal vectors form a class first. Tiles hold vectors near a common pivot, so that most pairs of tiles are ruled out by the
-angle between their centres and their radii (the triangle inequality of angles). What a pair of tiles returns is linear in
-its rows: numbers of links, and links that connect its components.
+Equal vectors form a class first. Tiles hold vectors near a common pivot, so that many pairs of tiles are ruled out by the
+angle between their centres and their radii (the triangle inequality of angles). Tiles travel in blocks, and a block goes once
+to each other block that is not ruled out, so that what is shuffled grows with the number of blocks of many tiles, not of
+tiles. What a pair of tiles returns is linear in its rows: numbers of links, and links that connect its components.
 """
 
 from __future__ import annotations
@@ -25,14 +26,18 @@ from ._components import components
 from ._model import bounded_sample
 from ._store import cut, map_arrow, partitions
 
-TILE = 4096
-#: Pivots are a sample of at most so many vectors.
-PIVOTS = 256
+#: Bounds of a tile and of a block: vectors, bytes.
+TILE, TILE_BYTES, BLOCK_BYTES = 8192, 4 << 20, 16 << 20
+#: Pivots are a sample of about so many vectors at most; groups of one pivot beyond a tile are parted by hash.
+PIVOTS = 4096
+#: Bytes of blocks' centres up to which these are sent to all executors, to rule out pairs.
+CENTRES_BYTES = 64 << 20
 #: Components of which products of int8 values are summed exactly in float32.
 SPAN = 1024
 #: Rounding of double precision in lengths and products of vectors of some thousand components, generously.
 SLACK = 1e-9
 STRIP = 512
+BROADCAST_ROWS = 500_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -56,6 +61,7 @@ class Tile:
     def __init__(self, row: dict):
         self.ids, self.weight = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
         self.raw = _unit(_raw(row["vectors"], row["wide"], len(self.ids)))
+        self.centre, self.radius = np.array(row["centre"]), row["radius"]
         self.q, self.scale, self.rest = quantised(self.raw)
         self.length = 1 + self.rest
 
@@ -180,13 +186,84 @@ def _read(vectors: DataFrame, vector: str) -> DataFrame:
     return map_arrow(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).alias("v")), run, "id long, dim int, wide boolean, exact binary")
 
 
+def _numbered(sizes: list[tuple[int, int, int]], width: int, tasks: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """((dim, pivot, first tile, tiles) of each group, (tile, block) of each tile) from sizes (dim, pivot, vectors).
+
+    Blocks hold tiles of one dimension, are as few as BLOCK_BYTES allows, but as many as give each of ``tasks`` a pair.
+    """
+    groups, blocks = [], []
+    n_tiles, block = 0, -1
+    for dim in sorted({d for d, _, _ in sizes}):
+        own = [(pivot, n) for d, pivot, n in sizes if d == dim]
+        most = max(16, min(TILE, TILE_BYTES // (dim * width)))
+        total = sum(n for _, n in own)
+        rows = max(1, min(BLOCK_BYTES // (dim * width), math.ceil(total / math.ceil(math.sqrt(2 * tasks)))))
+        most = max(1, min(most, rows))
+        held = rows + 1
+        for pivot, n in own:
+            k = max(1, math.ceil(n / most))
+            groups.append((dim, pivot, n_tiles, k))
+            for tile in range(n_tiles, n_tiles + k):
+                if held + n / k > rows:
+                    block, held = block + 1, 0
+                held += n / k
+                blocks.append((tile, block))
+            n_tiles += k
+        # the next dimension begins a block of its own
+    return groups, blocks
+
+
+def _block_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(one, two) of blocks, one <= two, of one dimension that angles do not rule out."""
+    spark = tiles.sparkSession
+    limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, float]]] = {}
+        for b in batches:
+            for block, c, r in zip(*[b.column(x).to_pylist() for x in ("block", "centre", "radius")], strict=True):
+                held.setdefault(block, []).append((np.array(c), r))
+        rows = []
+        for block, found in held.items():
+            mean = np.mean([c for c, _ in found], axis=0)
+            norm = float(np.sqrt(mean @ mean))
+            mean = mean / norm if norm > 1e-12 else found[0][0]
+            rows.append((block, len(mean), mean.tolist(), max(float(np.arccos(np.clip(c @ mean, -1, 1))) + r for c, r in found) + 1e-6))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["block", "dim", "centre", "radius"])
+
+    metas = cut(map_arrow(tiles.select("block", "centre", "radius").repartition(partitions(spark), "block"), centre, "block long, dim int, centre array<double>, radius double"))
+    size = metas.agg(F.sum(F.col("dim") * 8 + 16)).first()[0] or 0
+    if size > CENTRES_BYTES:  # all pairs of blocks of one dimension, each the lower of as many as there are after it
+        other = metas.select("dim", F.col("block").alias("two"))
+        return metas.select("dim", F.col("block").alias("one")).join(other, "dim").filter("one <= two").select("one", "two")
+    by_dim: dict[int, list[tuple[int, list[float], float]]] = {}
+    for r in metas.orderBy("block").collect():
+        by_dim.setdefault(r["dim"], []).append((r["block"], r["centre"], r["radius"]))
+    every = spark.sparkContext.broadcast({d: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for d, v in by_dim.items()})
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = [], []
+            for block, dim, c, r in zip(*[b.column(x).to_pylist() for x in ("block", "dim", "centre", "radius")], strict=True):
+                ids, centres, radii = every.value[dim]
+                apart = np.arccos(np.clip(centres @ np.array(c), -1, 1)) - radii - r
+                found = ids[(ids == block) | ((ids > block) & (apart <= limit))]
+                two.append(found)
+                one.append(np.full(len(found), block))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (one, two)], names=["one", "two"])
+
+    return map_arrow(metas, near, "one long, two long")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other rows linked), component_id (smallest vec_id reachable), kept.
 
-    Two rows are linked if the cosine of their vectors, in double precision, reaches the threshold (above 0). Null, empty
-    and zero vectors, and those with null or non-finite components, link with nothing, nor do vectors of different lengths.
-    Rows that repeat a vec_id count as rows of their own; rows with a null vec_id come out unlinked. Labels and other
-    columns are not read. The work on pairs grows with the square of the tiles that are not ruled out.
+    Two rows are linked if the cosine of their vectors, in double precision, reaches the threshold (above 0); one that is
+    equal to the threshold links. Null, empty and zero vectors, and those with null or non-finite components, link with nothing,
+    nor do vectors of different lengths. Rows that repeat a vec_id count as rows of their own; rows with a null vec_id come out
+    unlinked. Labels and other columns are not read, whatever their names. The work on pairs grows with the square of the tiles
+    that are not ruled out. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = cut(_read(vectors, vector))
@@ -195,8 +272,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "e
     n = classes.count()
     if not n:
         return rows.select(F.col("id").alias("vec_id"), *alone, F.col("id").isNotNull().alias("kept"))
+    tasks = partitions(spark)
     pivots: dict[int, list[np.ndarray]] = {}
-    for r in bounded_sample(classes, "id", min(PIVOTS, math.ceil(n / TILE))).select("dim", "wide", "exact").collect():
+    for r in bounded_sample(classes, "id", min(PIVOTS, max(math.ceil(n / TILE), math.ceil(math.sqrt(2 * tasks))))).select("dim", "wide", "exact").collect():
         pivots.setdefault(r["dim"], []).append(_unit(_raw(r["exact"], r["wide"], 1))[0])
     shared = spark.sparkContext.broadcast({d: np.array(v) for d, v in pivots.items()})
 
@@ -212,41 +290,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "e
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near)], names=[*b.schema.names, "pivot"])
 
     placed = cut(map_arrow(classes, nearest, T.StructType([*classes.schema.fields]).add("pivot", "long")))
-    # one number for each (dim, pivot, chunk); there are at most PIVOTS pivots of a length
+    # one number for each (dim, pivot, chunk); there are about PIVOTS pivots at most
     sizes = sorted((r["dim"], r["pivot"], r["n"]) for r in placed.groupBy("dim", "pivot").agg(F.count("*").alias("n")).collect())
-    first, n_tiles = [], 0
-    for dim, pivot, n in sizes:
-        k = max(1, math.ceil(n / TILE))
-        first.append((dim, pivot, n_tiles, k))
-        n_tiles += k
-    numbers = F.broadcast(spark.createDataFrame(first, "dim int, pivot long, first long, k int"))
+    groups, blocks = _numbered(sizes, 8 if placed.first()["wide"] else 4, tasks)
+    numbers = F.broadcast(spark.createDataFrame(groups, "dim int, pivot long, first long, k int"))
     tiled = placed.join(numbers, ["dim", "pivot"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64("id"), F.col("k")))
-    tiles = cut(_tile_rows(tiled))
-    # pairs of tiles that angles do not rule out, by an equi-join of tile numbers
-    meta = cut(tiles.select("tile", "centre", "radius"))
-    limit = math.acos(max(-1.0, min(1.0, threshold)))
-    other = meta.select(F.col("tile").alias("tile2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
-    cosine = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
-    pairs = meta.withColumn("tile2", F.explode(F.sequence(F.col("tile"), F.lit(n_tiles - 1)))).join(other, "tile2")
-    pairs = pairs.filter((F.size("centre") == F.size("centre2")) & ((F.col("tile") == F.col("tile2")) | (apart - F.col("radius") - F.col("radius2") <= limit + 1e-6))).select("tile", "tile2")
-    pairs = cut(pairs)
-    blobs = ["ids", "weights", "vectors", "wide"]
-    both = pairs.join(tiles.select("tile", *blobs), "tile").join(tiles.select(F.col("tile").alias("tile2"), *[F.col(x).alias(f"{x}2") for x in blobs]), "tile2")
-    both = both.repartition(2 * partitions(spark), "tile", "tile2")
+    # as many rows as tiles, of two numbers
+    tiles = cut(_tile_rows(tiled).join(F.broadcast(spark.createDataFrame(blocks, "tile long, block long")), "tile"))
+    pairs = cut(_block_pairs(tiles, threshold))
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    first = tiles.join(pairs.withColumn("block", F.col("one")), "block").withColumn("side", F.lit(0))
+    second = tiles.join(pairs.filter("one < two").withColumn("block", F.col("two")), "block").withColumn("side", F.lit(1))
+    both = first.unionByName(second).repartition(2 * tasks, "one", "two").sortWithinPartitions("one", "two", "side", "tile")
+    limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for b in batches:
             for k in range(b.num_rows):
                 row = {c: b.column(c)[k].as_py() for c in b.schema.names}
-                one = Tile(row)
-                two = one if row["tile"] == row["tile2"] else Tile({x: row[f"{x}2"] for x in blobs})
-                n1, n2, edges = compare(one, two, threshold)
-                ids = one.ids if two is one else np.concatenate([one.ids, two.ids])
-                counts = n1 if two is one else np.concatenate([n1, n2])
-                some = np.flatnonzero(counts)
-                a, z = [int(ids[x]) for x, _ in edges], [int(ids[y]) for _, y in edges]
-                yield pa.RecordBatch.from_arrays([pa.array([*ids[some].tolist(), *a], pa.int64()), pa.array([*[None] * len(some), *z], pa.int64()), pa.array([*counts[some].tolist(), *[0] * len(a)], pa.int64())], names=["a", "b", "n"])
+                if (row["one"], row["two"]) != now:
+                    now, held = (row["one"], row["two"]), []
+                tile = Tile(row)
+                todo = list(held)
+                if not row["side"]:
+                    held.append(tile)
+                    # the pair of a block with itself compares its tiles, others only those of different blocks
+                    todo = held if row["one"] == row["two"] else []
+                for other in todo:
+                    if other is not tile and float(np.arccos(np.clip(other.centre @ tile.centre, -1, 1))) - other.radius - tile.radius > limit:
+                        continue
+                    n1, n2, edges = compare(other, tile, threshold)
+                    ids = tile.ids if other is tile else np.concatenate([other.ids, tile.ids])
+                    counts = n1 if other is tile else np.concatenate([n1, n2])
+                    some = np.flatnonzero(counts)
+                    a, z = [int(ids[x]) for x, _ in edges], [int(ids[y]) for _, y in edges]
+                    yield pa.RecordBatch.from_arrays([pa.array([*ids[some].tolist(), *a], pa.int64()), pa.array([*[None] * len(some), *z], pa.int64()), pa.array([*counts[some].tolist(), *[0] * len(a)], pa.int64())], names=["a", "b", "n"])
 
     found = cut(map_arrow(both, product, "a long, b long, n long"))
     links = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
