@@ -10,7 +10,10 @@
    probability of at most MISS. Keys travel packed, combined within each batch of rows: of the classes with one key a batch
    passes on the first, and draws edges from it to the others. Blocks are the connected components over the edges.
 3. Large blocks are cut into tiles of bounded size by set size and hash; only pairs of tiles whose sizes can reach the
-   threshold are made, each a task of its own.
+   threshold are made, each a task of its own. At first each tile is compared with itself and with the first tiles of its and
+   the neighbouring sizes. What that connects in a block is mostly one component, within which nothing is left to find; so of
+   the other pairs of tiles only the rows outside it, the strays, are compared with all others. A block of a great many copies
+   of one text then costs as many tasks as it has tiles, not pairs of tiles.
 4. A task builds a signature tree for each tile: nodes hold the OR of their members' token bitmaps, the range of set sizes
    and the least number of set bits. Both trees are walked together; a pair of nodes goes if the largest overlap that
    bitmaps and sizes leave possible is too small. Pairs of sets that remain and are not connected yet are compared exactly.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._store import cut, map_arrow, partitions
+from ._store import buckets, cut, map_arrow, partitions
 from ._text import mix, shingle_sets
 
 EXACT_FROM, RATIO, SLACK, LEAST = Fraction(7, 8), 1.5, 0.15, 3
@@ -170,8 +173,8 @@ def _edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64))], names=["a", "b"])
 
 
-def candidate_edges(packed: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that share a key; a bucket's keys are in memory at once."""
+def candidate_edges(packed: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) between classes that share a key; keys are in n buckets, of which one is in memory at once."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -195,7 +198,6 @@ def candidate_edges(packed: DataFrame) -> DataFrame:
             for blob in batch.column(1).to_pylist():
                 yield _edge_batch(*_unpacked([blob]))
 
-    n = partitions(packed.sparkSession)
     across = map_arrow(packed.filter("bucket >= 0").select("bucket", "keys").repartition(n, "bucket").sortWithinPartitions("bucket"), meet, "a long, b long")
     return across.unionByName(map_arrow(packed.filter("bucket = -1").select("bucket", "keys"), unpack, "a long, b long"))
 
@@ -340,9 +342,31 @@ def _tiles(members: DataFrame, t: Fraction) -> DataFrame:
     return out.select("doc_id", "block", F.explode(tasks).alias("task")).select("doc_id", "block", "task.*")
 
 
+TASK = ["block", "low", "i", "high", "j"]
+
+
+def _strays(later: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of tasks that are left to do: later (TASK, side, doc_id) with ``part``, as two tasks for a pair of tiles.
+
+    In part 0 the strays of one tile meet all rows of the other, in part 1 the others of the one meet the strays of the other.
+    """
+    blocks = later.select("block").distinct()
+    groups = components(edges).withColumnRenamed("node", "doc_id")
+    labelled = cut(members.join(blocks, "block", "left_semi").join(groups, "doc_id", "left").select("doc_id", "block", F.coalesce("component", "doc_id").alias("label")))
+    sizes = labelled.groupBy("block", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    strays = labelled.join(main, "block").filter("label <> main").select("doc_id", F.lit(True).alias("stray"))
+    rows = cut(later.join(strays, "doc_id", "left").withColumn("stray", F.coalesce("stray", F.lit(False))))
+    held = rows.groupBy(*TASK).agg(F.count_if(F.col("stray") & (F.col("side") == 0)).alias("s0"), F.count_if(F.col("stray") & (F.col("side") == 1)).alias("s1"))
+    rows = rows.join(held.filter("s0 + s1 > 0"), TASK)
+    one = rows.filter("s0 > 0 and (side = 1 or stray)").withColumn("part", F.lit(0))
+    two = rows.filter("s1 > 0 and stray = (side = 1)").withColumn("part", F.lit(1))
+    return one.unionByName(two).select(*TASK, "part", "side", "doc_id")
+
+
 def _compare(tasks: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Edges between documents from rows (block, low, i, high, j, side, doc_id, text)."""
-    names = ["block", "low", "i", "high", "j"]
+    """Edges between documents from rows (block, low, i, high, j, part, side, doc_id, text)."""
+    names = [*TASK, "part"]
     kind = tasks.schema["doc_id"].dataType.simpleString()
     tasks = tasks.select(*names, "side", "doc_id", "text").repartition(4 * partitions(tasks.sparkSession), *names).sortWithinPartitions(*names)
 
@@ -350,7 +374,7 @@ def _compare(tasks: DataFrame, k: int, t: Fraction) -> DataFrame:
         now, held = None, ({}, {})
 
         def ended():
-            low, i, high, j = now[1:]
+            low, i, high, j = now[1:5]
             left = held[0]
             right = None if (low, i) == (high, j) else held[1]
             ids = [*left, *(right or {})]
@@ -378,20 +402,26 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), text
     smallest doc_id that links lead to, the document itself included. Words are runs without white space, A-Z as a-z. A text
     of fewer than k words is one shingle; null texts, empty ones and those of white space have none and stand alone. Rows
     with equal texts are linked, repeated rows come out repeatedly, rows with a null doc_id get the component of their text
-    or null. An empty table gives none. Other columns are not read.
+    or null. An empty table gives none. Other columns are not read, whatever their names. Rows that share a doc_id but not the
+    text are compared by one of their texts each. Links themselves are not counted, as pairs that are connected already are not
+    compared: the operator yields components. Texts are read whole; a long one is one set in memory.
     """
-    spark = docs.sparkSession
-    printed = cut(prints(docs, text, k, threshold, 4 * partitions(spark)))
+    n = 2 * buckets(docs.select("doc_id", text))
+    printed = cut(prints(docs, text, k, threshold, n))
     rows = printed.filter("bucket is null").select("doc_id", "n", "class", "check")
     classes = cut(rows.filter("n > 0 and doc_id is not null").groupBy("n", "class", "check").agg(F.min("doc_id").alias("first")))
-    blocks = components(candidate_edges(printed.filter("bucket is not null")))
+    blocks = components(candidate_edges(printed.filter("bucket is not null"), n))
     members = cut(classes.join(blocks.select(F.col("node").alias("class"), F.col("component").alias("block")), "class").select(F.col("first").alias("doc_id"), "n", "block"))
-    tasks = _tiles(members, threshold)
+    tasks = cut(_tiles(members, threshold))
     ids = members.select("doc_id").distinct()
     if members.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", F.col(text).alias("text")).filter("doc_id is not null").join(ids, "doc_id", "left_semi")
-    edges = cut(_compare(tasks.join(texts, "doc_id"), k, threshold))
+    near = "i = 0 or j = 0 or (low = high and i = j)"
+    edges = cut(_compare(tasks.filter(near).withColumn("part", F.lit(0)).join(texts, "doc_id"), k, threshold))
+    later = tasks.filter(f"not ({near})")
+    if not later.isEmpty():
+        edges = edges.unionByName(cut(_compare(_strays(later, members, edges).join(texts, "doc_id"), k, threshold)))
     groups = components(edges).select(F.col("node").alias("first"), "component")
     lead = cut(classes.join(groups, "first", "left").select("n", "class", "check", F.coalesce("component", "first").alias("component")))
     return rows.join(lead, ["n", "class", "check"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
