@@ -65,18 +65,27 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: conv_id, pieces (text, loss), formatted; a piece is under the loss mask if loss.
+    """One row per conversation: conv_id, formatted, mask: spans (turn, start, length) that count for the loss.
 
-    messages: conv_id, place, target, role, text as of fold(). The pieces joined are the formatted text. A conversation is one
-    text, so its turns meet in one row; nothing else is gathered.
+    A span lies in the part of the formatted text that begins after the turn mark number ``turn`` (from 0), at a character from
+    0 on: the escaped text of a message with one of loss_roles. Spans refer to their turn, so that each is found without
+    walking through all of a long conversation.
+
+    messages: conv_id, place, target, role, text as of fold(). A conversation is one text, so its turns meet in one row; nothing
+    else is gathered.
     """
-    turn = F.array(
-        F.struct(F.concat(F.lit(TURN), escaped(F.col("role"), ROLE_CODES), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escaped(F.col("text")).alias("text"), F.col("role").isin(*loss_roles).alias("loss")),
-        F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
-    )
-    rows = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "target", turn.alias("turn")))).alias("turns"))
-    return rows.select("conv_id", F.flatten("turns.turn").alias("pieces")).withColumn("formatted", F.concat_ws("", F.col("pieces.text")))
+    head, text = F.concat(escaped(F.col("role"), ROLE_CODES), F.lit("\n")), escaped(F.col("text"))
+    turn = F.struct(head.alias("head"), text.alias("text"), F.col("role").isin(*loss_roles).alias("loss"))
+    rows = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "target", turn.alias("turn")))).alias("turns")).select("conv_id", F.col("turns.turn").alias("turns"))
+    formatted = F.concat_ws("", F.transform("turns", lambda t: F.concat(F.lit(TURN), t["head"], t["text"], F.lit(END))))
+    spans = F.transform("turns", lambda t, i: F.when(t["loss"], F.struct(i.alias("turn"), F.length(t["head"]).alias("start"), F.length(t["text"]).alias("length"))))
+    return rows.select("conv_id", formatted.alias("formatted"), F.filter(spans, lambda x: x.isNotNull()).alias("mask"))
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts under the loss mask, as they were before they were escaped, in order."""
+    parts = F.split(formatted, r"<\|turn\|>", -1)  # nothing stands before the first mark
+    return F.transform(F.transform(mask, lambda m: F.substring(F.get(parts, m["turn"] + 1), m["start"] + 1, m["length"])), lambda x: unescaped(x))
 
 
 def read_back(formatted: Column) -> Column:
@@ -101,11 +110,23 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), "role", "text", F.lit("message").alias("kind")).withColumn("target", F.col("seq"))
 
 
+def as_log(conversations: DataFrame) -> DataFrame:
+    """Finished conversations as the log of a chat: what people write is begun, then edited; answers come in deltas, are broken
+    off, asked for again, and come in deltas once more. Order and repeated rows as in as_events()."""
+    rows = as_events(conversations).drop("kind").withColumn("text", F.coalesce("text", F.lit("")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda k, kind, text: F.struct((F.col("seq") * 10 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    typed = F.array(event(0, "message", first), event(1, "edit", F.col("text")))
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", rest), event(2, "regenerate", F.lit("")), event(3, "delta", first), event(4, "delta", rest))
+    log = rows.select("conv_id", "target", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return log.select("conv_id", "target", "role", "e.seq", "e.kind", "e.text")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted texts hold, read back from them."""
-    turns = formatted.withColumn("turns", read_back(F.col("formatted")))
-    loss = unescaped(F.concat_ws("", F.transform(F.filter("pieces", lambda x: x["loss"]), lambda x: x["text"])))
-    return turns.withColumn("loss", loss).select(
+    out = formatted.withColumns({"turns": read_back(F.col("formatted")), "loss": F.concat_ws("", under_mask(F.col("formatted"), F.col("mask")))})
+    return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))), 256).alias("turns_sha256"),
@@ -121,7 +142,7 @@ ODD = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string"))
-    return digest(render(fold(as_events(rows))))
+    return digest(render(fold(as_log(rows))))
 
 
 _ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"

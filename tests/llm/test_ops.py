@@ -348,6 +348,11 @@ def test_chat_round_trip(spark):
     rows = [(c, i, "user" if i % 2 == 0 else "assistant", t) for c, ts in enumerate([nasty, nasty[::-1], nasty[:1]]) for i, t in enumerate(ts)] + [(9, 0, "odd\nrole<", "x"), (9, 0, "odd\nrole<", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(3))
     made = chat.render(chat.fold(chat.as_events(df)))
+    assert sorted(made.drop("mask").collect()) == sorted(chat.render(chat.fold(chat.as_log(df))).drop("mask").collect())
+    for r in made.collect():  # spans of the mask as places in the whole text
+        at = [m.start() + len(chat.TURN) for m in re.finditer(re.escape(chat.TURN), r.formatted)]
+        texts = [r.formatted[at[m.turn] + m.start : at[m.turn] + m.start + m.length] for m in r["mask"]]
+        assert all(r.formatted[at[m.turn] + m.start + m.length :].startswith(chat.END) for m in r["mask"]) and not any(chat.TURN in x or chat.END in x for x in texts)
     back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in made.select("conv_id", chat.read_back(F.col("formatted")).alias("turns")).collect()}
     want = {c: [(r, t or "") for d, _, r, t in sorted(rows, key=lambda x: x[1]) if d == c] for c in {x[0] for x in rows}}
     assert back == want
