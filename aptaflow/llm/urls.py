@@ -85,14 +85,17 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     )
     out = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     # first the distinct (host, path): copies of a url are judged once
-    todo = out.select("host", "path").distinct().withColumn("hk", host_key(F.col("host")))
+    named = out.filter("host <> ''")
+    todo = named.select("host", "path").distinct().withColumn("hk", host_key(F.col("host")))
     host_ends = _ends(rules.select("rule_host").distinct().withColumn("hk", host_key(F.col("rule_host"))), [], "hk", ["rule_host"])
     todo = _sweep(todo, host_ends, [], "hk", runs).drop("hk").select("host", "path", F.explode("stack.rule_host").alias("rule_host")).withColumn("pk", F.hex("path"))
     path_ends = _ends(rules.withColumn("pk", F.hex("rule_path")), ["rule_host"], "pk", ["rule_path", "rule_verdict"])
     top = F.expr("element_at(filter(stack, x -> true), -1)")
     fits = _sweep(todo, path_ends, ["rule_host"], "pk", runs).filter("size(stack) > 0").withColumn("top", top)
     best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("rule_host") + F.length("top.rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "top.rule_path").alias("rule"), F.col("top.rule_verdict").alias("verdict"))).alias("b"))
-    return out.join(best, ["host", "path"], "left").withColumns({"rule": F.col("b.rule"), "verdict": F.coalesce("b.verdict", F.lit(default))}).drop("b")
+    judged = named.join(best, ["host", "path"], "left").withColumns({"rule": F.col("b.rule"), "verdict": F.coalesce("b.verdict", F.lit(default))}).drop("b")
+    # urls without a host, which no rule fits, would all meet in one group of that join
+    return judged.unionByName(out.filter("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
