@@ -24,7 +24,8 @@ COUNTERS = ["PROCESSED_READS", ACCEPTED, CONTIG, ALPHABET, FIVE, THREE, CYCLE, O
 
 @dataclass(frozen=True)
 class Config:
-    """How reads are parsed. mode: full, batch (the contig is the region) or region_only (primers are put around it)."""
+    """How reads are parsed. mode: full, batch (the contig is the region) or region_only (primers are put around it); distance:
+    edit or hamming, how parse_fuzzy() looks for primers."""
 
     five_prime: str = ""
     three_prime: str = ""
@@ -36,6 +37,7 @@ class Config:
     retry_reverse_complement: bool = False
     store_reverse_complement: bool = False
     mode: str = "full"
+    distance: str = "edit"
     barcodes5: tuple[str, ...] = ()
     barcodes3: tuple[str, ...] = ()
     cycles: tuple[str, ...] = field(default=())
@@ -43,6 +45,8 @@ class Config:
     def __post_init__(self):
         if self.mode not in ("full", "batch", "region_only"):
             raise ValueError(f"unknown mode {self.mode}")
+        if self.distance not in ("edit", "hamming"):
+            raise ValueError(f"unknown distance {self.distance}")
         if self.mode == "full" and not self.three_prime and self.exact_size is None:
             raise ValueError("a 3' primer or an exact region size is needed")
         if (self.lower is None) != (self.upper is None) or (self.lower is not None and self.lower >= self.upper):

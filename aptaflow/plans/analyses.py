@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching, seq
+from ..functions.register import register_functions
 from ..operators import fsbc, importer, lsh, metadata, motif
 from ..ship import ship
 from ..sources import experiments, fastq
@@ -300,6 +301,33 @@ def fsbc_ranked(spark: SparkSession, d: str) -> DataFrame:
     return fsbc.search(Q._last_round(spark, d)).select("rank", "subsequence", "length", "observed_count", r6("expected_fraction", "expected_fraction"), r6("z_score", "z_score"), r6("normalized_z_score", "normalized_z_score"))
 
 
+_CANDIDATES = [
+    Q._LAST,
+    Q._STRINGS,
+    Q._RATIOS,
+    "total AS (SELECT sum(count) AS n FROM lastround)",
+    *[x for k in range(5, 11) for x in _level_sql(k)],
+    f"cand AS MATERIALIZED (SELECT subsequence, row_number() OVER (ORDER BY round(nz, 9) DESC, round(z, 9) DESC, observed_count DESC, subsequence)::INT AS rank FROM ({_ALL_LEVELS}))",
+    "held AS MATERIALIZED (SELECT sequence, count, min(rank) AS m FROM counts, cand WHERE round = 6 AND instr(region, subsequence) > 0 GROUP BY ALL)",
+]
+
+
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = Q._last_round(spark, d)
+    return fsbc.clusters(c, cut(fsbc.search(c)))
+
+
+@query(X.twin("SELECT (row_number() OVER (ORDER BY m) - 1)::INT AS cluster_id, subsequence AS seed_string, member_count, total_count FROM (SELECT m, count(*) AS member_count, sum(count)::BIGINT AS total_count FROM held GROUP BY 1) JOIN cand ON rank = m", *_CANDIDATES, recursive=True))
+def fsbc_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the last round around the strings found: seeds with their members and reads."""
+    return _clusters(spark, d)[1]
+
+
+@query(X.twin("SELECT sequence, (dense_rank() OVER (ORDER BY m) - 1)::INT AS cluster_id FROM held", *_CANDIDATES, recursive=True))
+def fsbc_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d)[0]
+
+
 # --- hashing ----------------------------------------------------------------------------------------------------------
 
 
@@ -508,3 +536,35 @@ def triangle_inverse(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.range(30 * 29 // 2).withColumnRenamed("id", "index")
     i = seq.triangle_row(F.col("index"), F.lit(30))
     return rows.select(i.alias("i"), seq.triangle_column(F.col("index"), F.lit(30)).alias("j"), "index")
+
+
+@query(
+    X.twin(
+        """SELECT fwd, translate(reverse(fwd), 'ACGT', 'TGCA') AS rc, NOT contains(fwd, 'N') AS plain, instr(fwd, 'GATACGCATT') - 1 AS five, CASE WHEN instr(fwd, 'CTTGACCAGT') > 0 THEN length(fwd) - instr(reverse(fwd), reverse('CTTGACCAGT')) + 1 - 10 ELSE -1 END AS three,
+           ascii(min(fwd_qual)) - 33 AS q, list_sum([(instr('AGTC', substr(region, i::INT, 1)) - 1) * 4 ** (5 - i) FOR i IN range(1, 6)])::BIGINT AS id FROM reads GROUP BY fwd, region"""
+    )
+)
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions by name in SQL."""
+    register_functions(spark)
+    X.reads(spark, d).createOrReplaceTempView("aptaflow_reads")
+    return spark.sql(
+        f"""SELECT fwd, reverse_complement(fwd) AS rc, is_acgt(fwd) AS plain, find_left(fwd, '{X.P5}') AS five, find_right(fwd, '{X.P3}') AS three, phred(min(fwd_qual)) AS q, kmer_id(left(region, 5)) AS id
+            FROM aptaflow_reads GROUP BY fwd, region"""
+    )
+
+
+@query(
+    X.twin(
+        "SELECT outcome, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN NOT fwd SIMILAR TO '[ACGT]*' THEN 'INVALID_ALPHABET' WHEN five IS NULL THEN 'FIVE_PRIME_ERROR' WHEN three IS NULL THEN 'THREE_PRIME_ERROR' WHEN (five + 9 >= three AND five + 9 >= three + 9) OR (five <= three + 9 AND five >= three) THEN 'TOTAL_PRIMER_OVERLAPS' WHEN five + 10 < three AND three - five - 10 = 20 THEN 'ACCEPTED_READS' ELSE 'SIZE_MISMATCH' END AS outcome FROM ends) GROUP BY 1",
+        "whole AS (SELECT fwd, length(fwd) AS m, count(*) AS n FROM reads GROUP BY 1)",
+        "places AS (SELECT fwd, i::INT AS i, hamming(substr(fwd, i::INT + 1, 10), 'GATACGCATT') AS a, hamming(substr(fwd, i::INT + 1, 10), 'CTTGACCAGT') AS b FROM whole, range(0, 31) r(i) WHERE i + 10 <= m)",
+        # the 5' primer is searched from the right end of the reversed read, so of equal places the last one in the read
+        "best AS (SELECT fwd, min(a * 1000 - i) AS a, min(b * 1000 + i) AS b FROM places GROUP BY 1)",
+        "ends AS (SELECT whole.fwd, n, CASE WHEN a <= 2000 THEN ((a + 999) // 1000) * 1000 - a END AS five, CASE WHEN b < 3000 THEN b % 1000 END AS three FROM whole LEFT JOIN best USING (fwd))",
+    )
+)
+def hamming_import(spark: SparkSession, d: str) -> DataFrame:
+    """Reads by outcome with two mismatches, no insertions or deletions, allowed in each primer."""
+    config = importer.Config(X.P5, X.P3, X.SIZE, primer_tolerance=2, distance="hamming")
+    return importer.parse_fuzzy(X.reads(spark, d), config).groupBy("outcome").agg(F.count("*").alias("n"))

@@ -305,26 +305,6 @@ def fsbc_level_scores(spark: SparkSession, d: str) -> DataFrame:
     return fsbc.standardised(out).select("subsequence", "length", "observed_count", r6("expected_fraction", "expected_fraction"), r6("z_score", "z_score"), r6("normalized_z_score", "normalized_z_score"))
 
 
-_RANKED = "cand AS (SELECT row_number() OVER (ORDER BY round(nz, 9) DESC, round(z, 9) DESC, observed_count DESC, subsequence)::INT AS rank, subsequence FROM level)"
-
-
-def _level(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The counts of the last round and its ranked candidates of five bases."""
-    c = _last_round(spark, d)
-    out = fsbc.scored(fsbc.every_string(spark, fsbc.DNA, 5), fsbc.support(c, 5), *fsbc.inputs(c)).filter("z_score > 0")
-    return c, fsbc.ranked(fsbc.standardised(out))
-
-
-@query(X.twin("SELECT (row_number() OVER (ORDER BY m) - 1)::INT AS cluster_id, subsequence AS seed_string, member_count, total_count FROM (SELECT m, count(*) AS member_count, sum(count)::BIGINT AS total_count FROM held GROUP BY 1) JOIN cand ON rank = m", _LAST, _STRINGS, _RATIOS, _INCLUSION, _support_sql(5), _LEVEL, _RANKED, "held AS (SELECT sequence, count, min(rank) AS m FROM counts, cand WHERE round = 6 AND instr(region, subsequence) > 0 GROUP BY ALL)", recursive=True))
-def fsbc_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of the last round around strings of five: seeds with their members and reads."""
-    return fsbc.clusters(*_level(spark, d))[1]
-
-
-@query(X.twin("SELECT sequence, (dense_rank() OVER (ORDER BY m) - 1)::INT AS cluster_id FROM held", _LAST, _STRINGS, _RATIOS, _INCLUSION, _support_sql(5), _LEVEL, _RANKED, "held AS (SELECT sequence, min(rank) AS m FROM counts, cand WHERE round = 6 AND instr(region, subsequence) > 0 GROUP BY 1)", recursive=True))
-def fsbc_assignments(spark: SparkSession, d: str) -> DataFrame:
-    return fsbc.clusters(*_level(spark, d))[0]
-
 
 # --- hashing ----------------------------------------------------------------------------------------------------------
 
@@ -397,19 +377,19 @@ def kmer_round_totals(spark: SparkSession, d: str) -> DataFrame:
 _WINDOWS = f"windows AS (SELECT w.region, s::INT - 1 AS position, substr(w.region, s::INT, {_K}) AS kmer, c, sum(v) / {_K} AS a FROM profiles w, range(1, {22 - _K}) r(s) WHERE p > s AND p < s + {_K} GROUP BY ALL)"
 
 
-@query(X.twin("SELECT region, position, kmer, round(max(a) FILTER (WHERE c = 'h'), 6) AS h, round(max(a) FILTER (WHERE c = 'd'), 6) AS d FROM windows GROUP BY ALL", _PROFILE, _WINDOWS))
+@query(X.twin("SELECT region, position, kmer, round(max(a) FILTER (WHERE c = 'h'), 6) AS h, round(max(a) FILTER (WHERE c = 'b'), 6) AS b, round(max(a) FILTER (WHERE c = 'i'), 6) AS i, round(max(a) FILTER (WHERE c = 'm'), 6) AS m, round(max(a) FILTER (WHERE c = 'd'), 6) AS d FROM windows GROUP BY ALL", _PROFILE, _WINDOWS))
 def context_window_avg(spark: SparkSession, d: str) -> DataFrame:
-    """Mean contexts of k-mer windows, of the first and the last context."""
-    return motif.windows(_regions(spark, d), _K).select("region", "position", "kmer", r6(F.col("ctx")[0], "h"), r6(F.col("ctx")[4], "d"))
+    """Mean contexts of k-mer windows."""
+    return motif.windows(_regions(spark, d), _K).select("region", "position", "kmer", *[r6(F.col("ctx")[i], c) for i, c in enumerate(_CTX)])
 
 
 _SUMS = f"sums AS (SELECT kmer, round, c, sum(CASE WHEN count > {_ALPHA} THEN count ELSE 0 END) AS n, sum(CASE WHEN count <= {_ALPHA} THEN count ELSE 0 END) AS s, sum(CASE WHEN count > {_ALPHA} THEN a * count ELSE 0 END) AS x, sum(CASE WHEN count <= {_ALPHA} THEN a * count ELSE 0 END) AS y FROM windows JOIN counts USING (region) GROUP BY ALL)"
 
 
-@query(X.twin("SELECT kmer, round, n::BIGINT AS n_nonsingleton, s::BIGINT AS n_singleton, round(x, 6) AS b, round(y, 6) AS b_singleton FROM sums WHERE c = 'b'", _PROFILE, _WINDOWS, _SUMS))
+@query(X.twin("SELECT kmer, round, max(n)::BIGINT AS n_nonsingleton, max(s)::BIGINT AS n_singleton, " + ", ".join(f"round(max(x) FILTER (WHERE c = '{c}'), 6) AS {c}, round(max(y) FILTER (WHERE c = '{c}'), 6) AS {c}_singleton" for c in _CTX) + " FROM sums GROUP BY ALL", _PROFILE, _WINDOWS, _SUMS))
 def kmer_context_sums(spark: SparkSession, d: str) -> DataFrame:
     out = motif.context_sums(X.counts(spark, d), _regions(spark, d), motif.Config(_K, _ALPHA))
-    return out.select("kmer", "round", "n_nonsingleton", "n_singleton", r6(F.col("ctx")[1], "b"), r6(F.col("ctx_singleton")[1], "b_singleton"))
+    return out.select("kmer", "round", "n_nonsingleton", "n_singleton", *[r6(F.col(n)[i], c + end) for n, end in (("ctx", ""), ("ctx_singleton", "_singleton")) for i, c in enumerate(_CTX)])
 
 
 @query(X.twin("SELECT round, sum(count)::BIGINT AS reads FROM counts GROUP BY 1"))
@@ -487,16 +467,15 @@ def motif_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def motifs_full(spark: SparkSession, d: str) -> DataFrame:
-    return motif.motifs(X.counts(spark, d), _regions(spark, d), motif.Config(4, _ALPHA))
+    return motif.motifs(X.counts(spark, d), _regions(spark, d), motif.Config())
 
 
 # --- structure and catalog --------------------------------------------------------------------------------------------
 
 
-@query(X.twin("SELECT region, round(1 - sum(v) FILTER (WHERE p = 1), 6) AS p1, round(1 - sum(v) FILTER (WHERE p = 20), 6) AS p20, round(20 - sum(v), 6) AS total FROM profiles GROUP BY 1", _PROFILE))
+@query(X.twin("SELECT region, p - 1 AS position, round(1 - sum(v), 6) AS paired FROM profiles GROUP BY ALL", _PROFILE))
 def paired_probability(spark: SparkSession, d: str) -> DataFrame:
-    p = _regions(spark, d).withColumn("p", seq.paired_probability(F.col("profile"), F.length("region")))
-    return p.select("region", r6(F.col("p")[0], "p1"), r6(F.col("p")[19], "p20"), r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), "total"))
+    return _regions(spark, d).select("region", F.posexplode(seq.paired_probability(F.col("profile"), F.length("region"))).alias("position", "p")).select("region", "position", r6("p", "paired"))
 
 
 def _distinct_regions(spark: SparkSession, d: str) -> DataFrame:
