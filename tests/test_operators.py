@@ -25,7 +25,7 @@ def _plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["parse_outcome", "parse_outcome_rc", "cycle_counts", "round_enrichment", "kmer_support", "abundance_rank", "lsh_buckets", "visible_experiments", "quality_by_position"])
+@pytest.mark.parametrize("name", ["parse_outcome", "parse_outcome_rc", "cycle_counts", "round_enrichment", "kmer_support", "abundance_rank", "lsh_buckets", "visible_experiments", "quality_by_position", "fuzzy_import", "barcode_cycle_fuzzy", "paired_merge", "primer_matches", "fastq_scan", "paired_scan", "fsbc_ranked", "lsh_cluster_full", "kl_background", "significant_kmers", "good_overlaps", "motif_overlap", "sql_functions"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "part", "customer", "supplier", "orders", "nation"):
@@ -153,3 +153,55 @@ def test_numbered(spark):
     df = spark.range(1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k"))
     rows = numbered(df, "k", "n").orderBy("k").collect()
     assert [r.n for r in rows] == list(range(1, 1001))
+
+
+def test_plain_fastq_files_are_split(tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        n = rng.randint(1, 60)
+        rows.append((f"r{i} @x", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+ABC!I") for _ in range(n))))
+    path = tmp_path / "r.fq"
+    path.write_text("".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in rows))
+    assert list(fastq.records(str(path))) == rows
+    for split in (7, 50, 333, 10**6):
+        reader = fastq.FastqReader({"path": f"file://{path}", "split_bytes": str(split)}, False)
+        got = [r for p in reader.partitions() for b in reader.read(p) for r in zip(*[b.column(c).to_pylist() for c in ("header", "fwd", "fwd_qual", "read_id")], strict=True)]
+        assert [r[:3] for r in got] == rows and [r[3] for r in got] == sorted({r[3] for r in got})
+    path.write_text("@a\nACGT\n+\nIIII\n@b\nAC\n")
+    with pytest.raises(ValueError, match="breaks off"):
+        list(fastq.records(str(path)))
+    with pytest.raises(FileNotFoundError):
+        fastq.FastqReader({"path": str(tmp_path / "none")}, False)
+
+
+def test_cutoff_draws_of_one_size(spark):
+    counts = spark.createDataFrame([("AAACGTACGTACGT", "ACGTACGTAC"), ("AAACGTTTGTACGG", "ACGTTTGTAC"), ("CC", "CC")], "sequence string, region string")
+    config = lsh.Config(10, 4, cutoff_parents=50, cutoff_mutants=7, edit_distance=2)
+    rows = lsh.mutants(counts.filter(F.length("region") == 10), config).collect()
+    assert len(rows) == 350 and {r.parent for r in rows} == {"AAACGTACGTACGT", "AAACGTTTGTACGG"}
+    assert all(sum(a != b for a, b in zip(*r, strict=True)) <= 2 for r in rows) and 0 < lsh.cutoff(counts, config) < 0.2
+    assert lsh.cutoff(counts.limit(0), config) == 0.0 and lsh.cutoff(counts, lsh.Config(10, 4, cutoff=0.5)) == 0.5
+
+
+def test_regions_need_profiles(spark):
+    from aptaflow.operators import motif
+
+    regions = spark.createDataFrame([("ACG",), ("TTT",)], "region string")
+    good = spark.createDataFrame([("ACG", [0.0] * 15), ("TTT", [0.0] * 15)], "region string, profile array<double>")
+    assert motif.with_profiles(regions, good).count() == 2
+    for bad in (good.limit(1), good.withColumn("profile", F.slice("profile", 1, 14))):
+        with pytest.raises(Exception, match="profile of five values"):
+            motif.with_profiles(regions, bad).collect()
+
+
+def test_tables_are_made_once(spark):
+    from aptaflow.store import memo
+
+    calls = []
+    for _ in range(2):
+        rows = memo(spark, ("test", 1), lambda: calls.append(1) or spark.range(3))
+        assert rows.count() == 3
+    assert calls == [1]
