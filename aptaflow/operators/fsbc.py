@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..store import cut
+from ..store import cut, numbered
 from . import metadata
 
 DNA = ["A", "T", "C", "G"]
@@ -69,10 +69,11 @@ def scored(candidates: DataFrame, observed: DataFrame, ratios: Column, lengths:
 
 
 def standardised(level: DataFrame) -> DataFrame:
-    """z scores in population deviations of their length's mean. There are a few thousand candidates at the most."""
-    w = Window.partitionBy("length")
-    mean, sd = F.avg("z_score").over(w), F.stddev_pop("z_score").over(w)
-    return level.withColumn("normalized_z_score", F.when(sd == 0, 0.0).otherwise((F.col("z_score") - mean) / sd))
+    """z scores in population deviations of their length's mean. level should be a written table, as it is read twice."""
+    figures = level.groupBy("length").agg(F.avg("z_score").alias("_mean"), F.stddev_pop("z_score").alias("_sd"))  # a row for each length
+    out = level.join(F.broadcast(figures), "length")
+    z = F.when(F.col("_sd") == 0, 0.0).otherwise((F.col("z_score") - F.col("_mean")) / F.col("_sd"))
+    return out.withColumn("normalized_z_score", z).drop("_mean", "_sd")
 
 
 def inputs(counts: DataFrame) -> tuple[Column, list[tuple[int, int]], int]:
@@ -97,7 +98,7 @@ def search(counts: DataFrame, min_length: int = 5, max_length: int = 10, rna: bo
         level = scored(candidates.select("subsequence"), support(counts, k, candidates if levels else None), ratios, lengths, total)
         if levels:
             level = level.join(_sent(candidates), "subsequence").filter(F.col("z_score") > F.col("parent")).drop("parent")
-        level = cut(standardised(level.filter("z_score > 0")))
+        level = cut(standardised(cut(level.filter("z_score > 0"))))
         if level.isEmpty():
             break
         levels.append(level)
@@ -110,9 +111,11 @@ def search(counts: DataFrame, min_length: int = 5, max_length: int = 10, rna: bo
 
 
 def ranked(level: DataFrame) -> DataFrame:
-    """Candidates with their rank. Scores count to nine places, as the last digits depend on the order of addition."""
-    order = Window.orderBy(F.desc(F.round("normalized_z_score", 9)), F.desc(F.round("z_score", 9)), F.desc("observed_count"), "subsequence")
-    return level.withColumn("rank", F.row_number().over(order)).select("rank", "subsequence", "length", "observed_count", "expected_fraction", "z_score", "normalized_z_score")
+    """Candidates with their rank. Scores count to nine places, as the last digits depend on the order of addition. Ranks come
+    from a range-partitioned sort, not from one task."""
+    order = F.struct((-F.round("normalized_z_score", 9)).alias("n"), (-F.round("z_score", 9)).alias("z"), (-F.col("observed_count")).alias("o"), F.col("subsequence").alias("s"))
+    out = numbered(level.withColumn("_by", order), "_by", "rank")
+    return out.select("rank", "subsequence", "length", "observed_count", "expected_fraction", "z_score", "normalized_z_score")
 
 
 def seeds(candidates: DataFrame) -> DataFrame:
