@@ -15,6 +15,7 @@ from ..operators import fsbc, importer, lsh, metadata, motif
 from ..ship import ship
 from ..sources import experiments, fastq
 from ..store import cut, shared_dir
+from ..streaming import counts as streaming
 from . import experiment as X
 from . import queries as Q
 from .queries import query, r6
@@ -207,6 +208,19 @@ def cycle_tagging(spark: SparkSession, d: str) -> DataFrame:
     return importer.tag_cycles(rows, cycles).groupBy("cycle_name", "round").agg(F.count("*").alias("n"))
 
 
+@query(X.twin("SELECT cycle_name, sequence, count(*) AS count FROM accepted GROUP BY ALL"))
+def running_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts kept while files of reads arrive, as they stand after the last one."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = X.reads(spark, d).select("cycle_name", "fwd")
+    rows.repartition(4).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    counted = streaming.running_counts(arriving, X.CONFIG).writeStream.outputMode("complete").trigger(availableNow=True)
+    counted = counted.option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
+    counted.start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 # --- reverse reads ----------------------------------------------------------------------------------------------------
 
 _REVERSE = "back AS (SELECT cycle_name, substr(fwd, 6, 30) AS rev, reverse(substr(fwd_qual, 1, 30)) AS rev_qual FROM accepted)"
