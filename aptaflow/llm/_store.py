@@ -1,35 +1,18 @@
-"""Where intermediate results go: the folder that the cluster shares."""
+"""What the operators share: the folder of intermediate tables, and Arrow functions that leave a worker's memory clean."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
+from ..store import cut, shared_dir  # noqa: F401
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only in a local session that names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="aptaflow-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: a lost executor costs no recomputation of what led here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables that a Python worker keeps from task to task, by owner. A task of another owner drops them.
+_KEPT: dict[str, dict] = {}
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,7 +26,41 @@ def buckets(df: DataFrame, per: int = 64 << 20) -> int:
     return max(2 * partitions(df.sparkSession), -(-size // per) if size < 1 << 60 else 0)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with this package on the executors."""
+def kept(owner: str) -> dict:
+    """The worker's table of an owner."""
+    return _KEPT.setdefault(owner, {})
+
+
+def _drop_others(owner: str | None) -> None:
+    for name in [x for x in _KEPT if x != owner]:
+        del _KEPT[name]
+
+
+def _release() -> None:
+    """Give free memory back to the system, which else keeps counting against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, owner: str | None = None) -> DataFrame:
+    """mapInArrow with this package on the executors.
+
+    Workers serve many tasks: what another owner's tasks have kept goes before this one begins, and what it has freed is
+    given back after it ends, so that the operators of a pipeline do not add up in one worker.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(clean, schema)

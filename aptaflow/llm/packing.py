@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, map_arrow, partitions
+from ._store import cut, kept, map_arrow, partitions
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -72,17 +72,15 @@ class Encoder:
             known[w] = known[w[:-1]] + known[w[-1:]]
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder_of(path: str, cache: int) -> Encoder:
-    """The worker's encoder; what it has met serves the worker's later tasks."""
-    if (path, cache) not in _ENCODERS:
+    """The worker's encoder; what it has met serves the worker's later tasks of this operator."""
+    encoders = kept("packing")
+    if (path, cache) not in encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path, cache] = Encoder(path, cache)
-    return _ENCODERS[path, cache]
+        encoders[path, cache] = Encoder(path, cache)
+    return encoders[path, cache]
 
 
 def tokenised(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, cache: int = CACHE) -> DataFrame:
@@ -102,7 +100,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", capacity: int = CA
             kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long", owner="packing")
 
 
 def _price(weight: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
