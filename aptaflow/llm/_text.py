@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text hashed at once; a longer word is hashed whole.
 WINDOW = 1 << 20
-
+#: Bytes of texts whose words are held at once; a longer text is held whole.
+PORTION = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,6 +110,17 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def portions(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of PORTION bytes at most, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + (most or PORTION), "right")))
+        yield start, stop
+        start = stop
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of the k words from each word on; the last k - 1 are left out."""
     out = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
@@ -118,12 +131,13 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text its distinct k-word shingles, sorted; a text of fewer words is one shingle, one without words none."""
-    h, first = words(texts)
-    every = shingles(h, k)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(every[a : b - k + 1])
-        elif b > a:
-            yield shingles(h[a:b], b - a) ^ np.uint64(b - a)
-        else:
-            yield np.zeros(0, np.uint64)
+    for start, stop in portions(texts):
+        h, first = words(texts.slice(start, stop - start))
+        every = shingles(h, k)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= k:
+                yield np.unique(every[a : b - k + 1])
+            elif b > a:
+                yield shingles(h[a:b], b - a) ^ np.uint64(b - a)
+            else:
+                yield np.zeros(0, np.uint64)

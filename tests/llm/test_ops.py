@@ -45,6 +45,14 @@ def test_word_hashes_over_windows(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, small, strict=True))
 
 
+def test_portions(monkeypatch):
+    texts = pa.array(["abc", None, "", "x" * 50, "de fg", "h" * 9])
+    assert list(_text.portions(texts, 10)) == [(0, 3), (3, 4), (4, 5), (5, 6)] and list(_text.portions(texts[:0])) == []
+    whole = [x.tolist() for x in _text.shingle_sets(texts, 2)]
+    monkeypatch.setattr(_text, "PORTION", 1)
+    assert [x.tolist() for x in _text.shingle_sets(texts, 2)] == whole
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
