@@ -19,11 +19,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets(df: DataFrame, per: int = 64 << 20) -> int:
-    """How many parts to deal df to: twice the shuffle partitions, and more where these would hold over ``per`` bytes of it, by
-    the planner's figure (a source that does not know its size has none)."""
+def buckets(df: DataFrame) -> int:
+    """How many parts to deal df to, by the planner's figure of its size: 512 at most of 8 MB, then of 64 MB. A source that does
+    not know its size is dealt to twice the shuffle partitions.
+
+    Each batch of rows sends a row to each part, so parts follow the data, not the number of tasks that a session likes.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * partitions(df.sparkSession), -(-size // per) if size < 1 << 60 else 0)
+    if size >= 1 << 60:
+        return 2 * partitions(df.sparkSession)
+    return max(12, min(512, size >> 23), size >> 26)
 
 
 def kept(owner: str) -> dict:
