@@ -1,12 +1,16 @@
-"""Sequence functions as Column expressions; everything here stays in the JVM."""
+"""Sequence functions as Column expressions; everything here stays in the JVM, but for hamming_search()."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+from . import matching
+
 CONTEXTS = ["h", "b", "i", "m", "d"]
 
 
@@ -45,15 +49,17 @@ def hamming_at(text: Column, pattern: Column, at: Column) -> Column:
 
 
 def hamming_search(text: Column, pattern: Column, tolerance: int, low: Column | None = None, high: Column | None = None) -> Column:
-    """(index, errors) of the place in [low, high - length] with the fewest mismatches, the first of these; null beyond the tolerance."""
-    low = F.lit(0) if low is None else low
-    high = F.length(text) if high is None else high
-    n = F.length(pattern)
-    places = F.sequence(low, F.greatest(high - n, low))
-    best = F.array_min(F.transform(places, lambda k: F.struct(hamming_at(text, pattern, k).alias("errors"), k.alias("index"))))
-    # through an array of one, so that the search stands in the plan once
-    hits = F.transform(F.array(F.when(high - low >= n, best)), lambda h: F.when(h["errors"] <= tolerance, F.struct(h["index"].alias("index"), h["errors"].alias("errors"))))
-    return F.get(hits, F.lit(0))
+    """(index, errors) of the place in [low, high - length] with the fewest mismatches, the first of these; null beyond the tolerance.
+
+    An Arrow function, as lambdas of built-in functions take some 100 ns for each pair of characters.
+    """
+    ship(SparkSession.active())
+
+    @F.arrow_udf("index int, errors int")
+    def search(texts: pa.Array, patterns: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        return matching.hamming_searches(texts, patterns, low, high, tolerance)
+
+    return search(text, pattern, F.lit(0) if low is None else low, F.length(text) if high is None else high)
 
 
 def overlapped(start1: Column, length1: Column, start2: Column, length2: Column) -> Column:
