@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from aptaflow.operators import fsbc, importer, lsh
+from aptaflow.operators import catalog, fsbc, importer, lsh
 from aptaflow.plans import queries
 from aptaflow.sources import experiments, fastq
 
@@ -205,3 +205,19 @@ def test_tables_are_made_once(spark):
         rows = memo(spark, ("test", 1), lambda: calls.append(1) or spark.range(3))
         assert rows.count() == 3
     assert calls == [1]
+
+
+def test_visible_against_one_by_one(spark):
+    users = [(1, False), (2, False), (3, True), (4, False), (5, None), (None, False)]
+    exps = [(10, 100), (11, 100), (12, 101), (13, None), (14, 102)]
+    projects = [(1, 100, "EDITOR"), (2, 100, None), (2, 101, "VIEWER"), (3, 100, "VIEWER"), (4, None, "VIEWER"), (5, 100, "VIEWER"), (9, 100, "EDITOR"), (1, 103, "EDITOR")]
+    grants = [(1, 10, "GRANTED"), (1, 12, "GRANTED"), (2, 11, "OWNER"), (2, 13, None), (3, 12, "GRANTED"), (4, 13, "GRANTED"), (4, 99, "GRANTED"), (5, 14, "GRANTED"), (None, 10, "GRANTED"), (1, None, "GRANTED")]
+    level = {(u, e): x for u, p, x in projects for e, q in exps if p is not None and p == q}
+    held = {(u, e): x for u, e, x in grants}
+    want = [(u, e, level.get((u, e)) or held.get((u, e))) for u, e in level.keys() | held.keys() if u in (1, 2, 4)] + [(3, e, "MANAGER") for e, _ in exps]
+    frames = [spark.createDataFrame(x, s) for x, s in ((users, "user_id int, is_admin boolean"), (exps, "experiment_id int, project_id int"), (projects, "user_id int, project_id int, access_level string"), (grants, "user_id int, experiment_id int, access_level string"))]
+    out = catalog.visible(*frames)
+    assert out.columns == ["user_id", "experiment_id", "access_level"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+    # the experiments of members, the most rows by far, meet in no full join
+    assert "FullOuter" not in out._jdf.queryExecution().executedPlan().toString()
