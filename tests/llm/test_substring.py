@@ -3,7 +3,7 @@
 import random
 import re
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -244,3 +244,79 @@ def test_seeds_left():
         assert {(x["doc"], x["head"]) for x in substring.unmet(m)} == {x for x in found if x[1]}
         m["n"][m["head"] == 0] = np.where(m["pos"] == 2, substring.K, -substring.K)[m["head"] == 0]
         assert {(x["doc"], x["head"]) for x in substring.unmet(m)} == {x for x in found if x[1]} | {(1, 0)}
+
+
+def test_frequent_fragments_do_not_hide_a_changed_passage(spark):
+    """Each seed that the last three share stands in fragments of more than ALL smaller documents, too."""
+    rng = random.Random(14)
+    p = prose(rng, 120)
+    rows = [p[20 * i : 20 * i + 30] for _ in range(substring.ALL + 2) for i in range(5)]
+    rows += [[f"y{i}" if j % 15 == i else w for j, w in enumerate(p)] for i in (3, 7, 11)]
+    rows = [(i, " ".join([*prose(rng, 20), *w, *prose(rng, 20)])) for i, w in enumerate(rows)]
+    out = rows_of(substring.passages(spark.createDataFrame(rows, DOCS)))
+    check_rows({i: split(t) for i, t in rows}, out)
+    x, y, z = range(len(rows) - 3, len(rows))
+    assert {(d, o) for d, o, _, n, *_ in out if n > 90} == {(y, x), (z, x), (z, y)} == {(d, o) for d, o, *_ in out}
+
+
+def test_joint_seeds():
+    s = np.zeros(6, substring.SEED)
+    s["key"], s["doc"], s["pos"] = [1, 2, 3, 3, 1, 2], [1, 1, 1, 1, 2, 2], [0, 4, 9, 12, 0, 60]
+    often, done = s["key"] == 3, np.array([True, False, True, True, False, False])
+    x = substring.joint(s, often, done)
+    assert sorted(x[["doc", "pos", "next", "done"]].tolist()) == [(1, 0, 9, True), (1, 4, 9, False)]
+    for n in (1, 2, substring.ALL, substring.ALL + 1, 50):
+        x = np.zeros(n, substring.JOINT)
+        x["doc"], x["pos"], x["next"] = np.arange(n), 7, 20
+        x["done"][0] = x["done"][1 % n] = True
+        old, substring.TILE = substring.TILE, 15
+        try:
+            met, many = substring.joint_met(x)
+        finally:
+            substring.TILE = old
+        pairs = {(m["doc"], m["head"], m["pos"], m["at"]) for y in met for m in y}
+        want = {(i, j, at, at) for i in range(n) for j in range(i) for at in (7, 20) if i > 1}
+        assert (pairs, len(many)) == ((want, 0) if n <= substring.ALL else (set(), n))
+        assert n <= substring.ALL or (many["tile"].tolist() == [i // 15 for i in range(n)] and set(many["tiles"]) == {-(-n // 15)})
+
+
+def test_least_common_runs():
+    """No passage has fewer runs of words in common, whatever its errors."""
+    assert substring.least_common(50, 0.8) == (3, 18)
+    rng = random.Random(15)
+    for n, identity in ((50, 0.8), (20, 0.9), (12, 0.5), (30, 0.7)):
+        q, least = substring.least_common(n, identity)
+        for _ in range(300):
+            size = rng.randint(n, 2 * n)
+            wrong = set(rng.sample(range(1, size - 1), rng.randint(0, int((1 - identity) * size + 1e-9))))
+            step = max(1, size // (len(wrong) + 1))
+            for off in (wrong, {(i + 1) * step for i in range(len(wrong))}):
+                same = [i not in off for i in range(size)]
+                assert sum(all(same[i : i + q]) for i in range(size - q + 1)) >= least
+
+
+def test_alike_against_all_pairs():
+    rng = random.Random(16)
+    line, other = prose(rng, 12), prose(rng, 30)
+    for tiles in (1, 2):
+        texts = [[*prose(rng, rng.randint(0, 40)), *line, *(other if i % 7 == 0 else prose(rng, 30)), *["same"] * (i % 5 * 4)] for i in range(60)]
+        texts[40] = [f"z{j}" if j % 5 == 4 else w for j, w in enumerate(texts[8])]
+        names = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+        rows = np.zeros(60, substring.NEAR)
+        rows["doc"], rows["n"], rows["done"] = np.arange(60) // 2 * 2, [len(t) for t in texts], np.arange(60) % 3 == 0
+        rows["tile"], rows["b"] = np.arange(60) * tiles // 60, tiles - 1
+        near = np.array([names[w] for t in texts for w in t], "<u2")
+        for n, identity in ((50, 0.8), (14, 0.8), (10, 0.5)):
+            q, least = substring.least_common(n, identity)
+            runs = [Counter(tuple(t[i : i + q]) for i in range(len(t) - q + 1)) for t in texts]
+
+            def fits(a, b, n=n, identity=identity):
+                """Whether enough words of a stretch of a stand in b."""
+                total = np.concatenate([[0], np.cumsum([w in set(b) for w in a])])
+                return any(total[j] - total[i] >= identity * (j - i) - 1e-9 for i in range(len(a)) for j in range(i + n, len(a) + 1))
+
+            some = {(i, j) for i in range(60) for j in range(i) if i // 2 != j // 2 and (i % 3 or j % 3) and (tiles == 1 or i >= 30 > j) and sum((runs[i] & runs[j]).values()) >= least}
+            want = {(i, j) for i, j in some if fits(texts[i], texts[j]) and fits(texts[j], texts[i])}
+            got = {(max(x), min(x)) for x in substring.alike(rows, near, n, identity).tolist()}
+            # words that share a slot may let some more pass
+            assert want <= got <= some and (tiles == 2 or (40, 8) in got) and len(got) <= 1.2 * len(want) + 5
