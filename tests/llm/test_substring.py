@@ -320,3 +320,53 @@ def test_alike_against_all_pairs():
             got = {(max(x), min(x)) for x in substring.alike(rows, near, n, identity).tolist()}
             # words that share a slot may let some more pass
             assert want <= got <= some and (tiles == 2 or (40, 8) in got) and len(got) <= 1.2 * len(want) + 5
+
+
+def test_fragment_twice_in_a_short_text(spark):
+    """The last two share a changed passage around a fragment of more than ALL documents, which one of them also holds before it."""
+    rng = random.Random(17)
+    p = prose(rng, 60)
+    fragment = p[20:40]
+    rows = [[*prose(rng, 10), *fragment, *prose(rng, 10)] for _ in range(substring.ALL + 8)]
+    changed = [w if 20 <= i < 40 or i % 5 != 3 else f"y{i}" for i, w in enumerate(p)]
+    rows += [[*prose(rng, 10), *p, *prose(rng, 10)], [*fragment, *prose(rng, 5), *changed]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    out = rows_of(substring.passages(spark.createDataFrame(rows, DOCS)))
+    check_rows({i: split(t) for i, t in rows}, out)
+    assert {(d, o) for d, o, p, n, *_ in out if p <= 30 and p + n >= 80} == {(len(rows) - 1, len(rows) - 2)}
+
+
+def test_runs_of_many_documents(spark):
+    """Runs of one word meet as a whole, not word by word, and none of their places is left out."""
+    rng = random.Random(18)
+    size = [42 + i % 7 for i in range(substring.ALL + 8)]
+    rows = [(i, " ".join([*prose(rng, 60 + i), *["same"] * n, *prose(rng, 60)])) for i, n in enumerate(size)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found, places = substring.matches(docs, "text", substring.K, substring.SPREAD, substring.MIN_WORDS, 12)
+    first = substring.cut(substring._aligned(docs, found, substring.MIN_WORDS, substring.IDENTITY, 12))
+    rest = substring.cut(substring.matches_left(places, first, substring.K, 12)).filter(F.col("kind") == substring.PLACES)
+    more = substring.matches_joint(docs, rest, first, substring.K, substring.MIN_WORDS, substring.IDENTITY, 12).collect()
+    m = np.concatenate([np.frombuffer(x.rows, substring.MATCH) for x in more])
+    assert len(m) <= len(size) ** 2 * max(size) * 2
+    for d, h in ((9, 3), (39, 0), (39, 38)):
+        covered = {(x["pos"] + i - 60 - d, x["at"] + i - 60 - h) for x in m[(m["doc"] == d) & (m["head"] == h)] for i in range(x["n"])}
+        assert covered == {(x + i, y + i) for x in range(size[d] - 9) for y in range(size[h] - 9) for i in range(10)}
+
+
+def test_places_that_come_again():
+    rng = random.Random(19)
+    at = [3, 4, 5, 6, 9, 12, 15, 21, 27, 28, 29, 30]
+    rows = [(7, 1, p, p + 8, False, 0, 1) for p in at]
+    got = substring.repeated(rows, 5, 100)
+    assert [(x[2], *x[-2:]) for x in got] == [(3, 4, 1), (9, 3, 3), (21, 1, 0), (27, 4, 1)]
+    assert [p for x in substring.repeated(rows, 5, 2) for p in range(x[2], x[2] + x[-2] * max(x[-1], 1), max(x[-1], 1))] == at
+    assert len(substring.repeated([(7, 1, p, p + 8 + p % 2, p > 5, p // 9, 2) for p in at], 5, 100)) == len(at)
+    for _ in range(50):
+        rows = np.zeros(2, substring.NEAR)
+        rows["doc"], rows["pos"] = rng.sample(range(5), 2), [rng.randrange(9), rng.randrange(9)]
+        rows["next"], rows["times"] = rows["pos"] + 6, [rng.randint(1, 7), rng.randint(1, 7)]
+        rows["step"] = [rng.randint(1, 3) if n > 1 else 0 for n in rows["times"]]
+        m = substring.laid(rows[:1], rows[1:], 3)
+        a, b = sorted(rows, key=lambda x: -x["doc"])
+        want = {(a[s] + i * a["step"] + w, b[s] + j * b["step"] + w) for s in ("pos", "next") for i in range(a["times"]) for j in range(b["times"]) for w in range(3)}
+        assert {(x["pos"] + w, x["at"] + w) for x in m for w in range(x["n"])} == want and set(m["doc"]) == {a["doc"]} and set(m["head"]) == {b["doc"]}
