@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from aptaflow.llm import decontaminate, ngram_join, pii, substring
+from aptaflow.llm import decontaminate, ngram_join, packing, pii, substring
 
 DOCS = "doc_id long, text string"
 
@@ -76,3 +76,38 @@ def test_near_copies_keep_rows_without_id(spark):
     assert got == sorted([(1, a), (3, c), (None, b), (None, None), (None, "")], key=str)
     alone = spark.createDataFrame([(None, b)], DOCS)
     assert ngram_join.stage(spark, alone, "").count() == 1
+
+
+# --- op 7 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_plain_words_do_not_go_through_the_whole_tokenizer():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole, given = encoder.tokenizer, []
+
+    class Told:
+        def encode_batch_fast(self, words, **options):
+            given.extend(words)
+            return whole.encode_batch_fast(words, **options)
+
+    encoder.tokenizer = Told()
+    letters = packing.PLAIN
+    texts = ["the Cats, naïve. straße, œuvre. coração", letters, " ".join(letters), " ".join(x + y for x in letters for y in letters), "ÉTÉ İstanbul. été, é.", "don't 'tis it's. a$$$ b., ..,. x1y2 ÷× ª ﬁn ŉ ſ ÿ.", "", " \n a ", "<|endoftext|>Ab ab"]
+    for text in texts:
+        assert encoder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert given and not any(w and set(w) <= set(letters) for w in given)
+
+
+def test_a_tokenizer_that_cuts_plain_words_is_used_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        made = json.load(f)
+    made["added_tokens"].append({"id": len(made["model"]["vocab"]), "content": "cat", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    encoder = packing.Encoder(str(tmp_path / "t.json"))
+    assert encoder.model is None and encoder.ids("a concatenated word").tolist() == encoder.tokenizer.encode("a concatenated word", add_special_tokens=False).ids
