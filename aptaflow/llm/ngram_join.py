@@ -42,6 +42,8 @@ TILE_ROWS, TILE_TOKENS = 768, 1_000_000
 FANOUT = 8
 #: Pairs of nodes of which the children are made at once.
 PARENTS = 1 << 13
+#: 64-bit words of bitmaps that are compared at once.
+PAIR_WORDS = 1 << 19
 #: Rows up to which document ids are broadcast to pick texts; more go through a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -228,7 +230,7 @@ def depth_for(n: int) -> int:
 def _may_link(one: tuple, two: tuple, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
     """Which node pairs may hold linked sets, by the largest overlap that sizes and bitmaps allow."""
     out = np.zeros(len(i), bool)
-    step = max(1, (1 << 22) // one[0].shape[1])
+    step = max(1, PAIR_WORDS // one[0].shape[1])
     for s in range(0, len(i), step):
         a, b = i[s : s + step], j[s : s + step]
         low1, high1, low2, high2 = one[1][a], one[2][a], two[1][b], two[2][b]

@@ -78,6 +78,30 @@ def test_near_copies_keep_rows_without_id(spark):
     assert ngram_join.stage(spark, alone, "").count() == 1
 
 
+# --- near copies ---------------------------------------------------------------------------------------------------------
+
+
+def test_two_full_tiles_are_compared_in_little_memory():
+    import tracemalloc
+    from fractions import Fraction
+
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+
+    def tile():
+        sets = np.tile(base, (ngram_join.TILE_ROWS, 1))
+        sets[:, :30] = rng.integers(0, 1 << 63, (len(sets), 30))
+        return [np.unique(x) for x in sets]
+
+    one, two = tile(), tile()
+    two[-1] = one[5]
+    tracemalloc.start()
+    assert ngram_join.links(one, two, Fraction(4, 5)) == [(5, 2 * ngram_join.TILE_ROWS - 1)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 # --- op 7 ----------------------------------------------------------------------------------------------------------------
 
 
